@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate
+from lattica.llm import decontaminate, quality, secrets, sharding, simhash, topk
 
-QUERIES = {"op1_decontaminate": decontaminate.op1_decontaminate}
-ORACLE_SQL = {"op1_decontaminate": decontaminate.ORACLE}
+QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op3_simhash": simhash.op3_simhash,
+    "op5_shard": sharding.op5_shard,
+    "op7_quality": quality.op7_quality,
+    "op8_secrets": secrets.op8_secrets,
+    "op9_topk": topk.op9_topk,
+}
+ORACLE_SQL = {
+    "op1_decontaminate": decontaminate.ORACLE,
+    "op8_secrets": secrets.ORACLE,
+    "op9_topk": topk.ORACLE,
+}
