@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, quality, secrets, sharding, simhash, topk
+from lattica.llm import decontaminate, lm_score, packing, quality, secrets, sharding, simhash, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_simhash": simhash.op3_simhash,
     "op5_shard": sharding.op5_shard,
+    "op6_pack": packing.op6_pack,
     "op7_quality": quality.op7_quality,
     "op8_secrets": secrets.op8_secrets,
     "op9_topk": topk.op9_topk,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLE_SQL = {
     "op1_decontaminate": decontaminate.ORACLE,
