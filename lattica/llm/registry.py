@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lattica.llm import decontaminate, lm_score, packing, quality, secrets, sharding, simhash, topk
+from lattica.llm import decontaminate, licenses, linededup, lm_score, packing, quality, secrets, sharding, simhash, topk
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_licenses": licenses.op2_licenses,
     "op3_simhash": simhash.op3_simhash,
+    "op4_line_dedup": linededup.op4_line_dedup,
     "op5_shard": sharding.op5_shard,
     "op6_pack": packing.op6_pack,
     "op7_quality": quality.op7_quality,
