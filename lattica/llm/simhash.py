@@ -197,8 +197,9 @@ def clusters(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataF
 
 def report(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, component_id for each row."""
-    c = clusters(with_rid(docs.select("doc_id", "text")), bits, shingle)
-    least = c.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
+    c = stored(clusters(with_rid(docs.select("doc_id", "text")), bits, shingle), "simhash-clusters")
+    # Stored, so that the join below deals its rows by itself and a large group can be split.
+    least = stored(c.groupBy("_group").agg(F.min("doc_id").alias("component_id")), "simhash-least")
     return c.join(least, "_group").select("doc_id", hex_digits(F.col("_fp")).alias("fingerprint"), "component_id")
 
 
