@@ -17,6 +17,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lattica.llm.common import stored, table, with_rid
 
@@ -55,7 +56,7 @@ def _bytes(lines: list[str]) -> bytes:
     return "\n".join(lines).encode("utf-8", "surrogatepass")
 
 
-@F.arrow_udf("array<struct<at:int,key:long>>")
+@F.arrow_udf(T.ArrayType(T.StructType().add("at", T.IntegerType()).add("key", T.LongType())))
 def _keys(texts: pa.Array) -> pa.Array:
     import xxhash
 
@@ -66,7 +67,7 @@ def _keys(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())])))
 
 
-@F.arrow_udf("array<binary>")
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
 def _at(texts: pa.Array, at: pa.Array) -> pa.Array:
     rows = []
     for t, a in zip(texts, at, strict=True):
@@ -75,7 +76,7 @@ def _at(texts: pa.Array, at: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.binary()))
 
 
-@F.arrow_udf("struct<text:string,lines:long,removed_lines:long,removed_chunks:long>")
+@F.arrow_udf(T.StructType().add("text", T.StringType()).add("lines", T.LongType()).add("removed_lines", T.LongType()).add("removed_chunks", T.LongType()))
 def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     rows = []
     for t, g in zip(texts, gone, strict=True):
