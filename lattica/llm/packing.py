@@ -14,7 +14,7 @@ table gives an empty result; other columns are ignored (`packed_texts` keeps non
 from __future__ import annotations
 
 import bisect
-import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,45 +31,75 @@ TOKENIZER = "word_bpe_49k.json"
 #: Groups of large lengths, and the least length that counts as large.
 GROUPS, LARGE = 32, 256
 #: Distinct chunks of text whose ids a Python worker remembers.
-REMEMBERED = 400_000
-_WORD_AND_MARKS = re.compile(rb"([a-z]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)")
+REMEMBERED = 1_000_000
+_MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character by which a byte-level tokenizer writes each byte: printable ones as they are, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(others)}
 
 
 class Encoder:
     """Token ids as little-endian unsigned 32-bit bytes. The tokenizer splits at white space before it merges, and
-    lower-cases, so chunks between ASCII white space are encoded alone and remembered."""
+    lower-cases, so chunks between ASCII white space are encoded alone and remembered. A word of letters, and a run of marks after
+    it, is one unit of merging each, and goes to the tokenizer's merging model directly; other chunks take the whole way."""
 
     def __init__(self, tokenizer: str = TOKENIZER) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.characters = _byte_characters()
+        self.bytes_of = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _unit(self, unit: str) -> bytes:
+        bytes_of = self.bytes_of
+        return b"".join([bytes_of[t.id] for t in self.model.tokenize(unit)])
+
+    def _learn(self, chunks: set[bytes]) -> None:
+        known, whole = self.known, []
+        for c in chunks:
+            word = c.rstrip(_MARKS)
+            if word.isalpha():  # ASCII letters
+                unit = word.decode()
+            else:
+                unit = unicodedata.normalize("NFC", word.decode("utf-8"))
+                unit = unit.lower() if "Σ" not in unit else "".join([x.lower() for x in unit])  # no final sigma here
+                if not unit.isalpha():
+                    whole.append(c)
+                    continue
+                unit = unit.encode("utf-8").decode("latin-1").translate(self.characters)
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = self._unit(unit)
+            if len(word) < len(c):
+                marks = c[len(word) :]
+                more = known.get(marks)
+                if more is None:
+                    more = known[marks] = self._unit(marks.decode())
+                known[c] = ids + more
+        if whole:
+            known.update(zip(whole, self._plain([c.decode("utf-8") for c in whole]), strict=True))
+
     def __call__(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
         if b"<|" in raw:  # a special token may stand there, in its exact case
             return self._plain([text])[0]
-        chunks, known = raw.lower().split(), self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new: dict[bytes, tuple[bytes, ...]] = {}
-        for c in set(chunks):
-            if c not in known:
-                m = _WORD_AND_MARKS.fullmatch(c)
-                new[c] = m.groups() if m else (c,)
-        parts = list({p for ps in new.values() for p in ps if p not in known})
-        known.update(zip(parts, self._plain([p.decode("utf-8") for p in parts]), strict=True))
-        for c, ps in new.items():
-            known[c] = b"".join(known[p] for p in ps)
-        return b"".join(map(known.__getitem__, chunks))
+        chunks = raw.lower().split()
+        if new := set(chunks).difference(self.known):
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+                new = set(chunks)
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
