@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.storage import remove_stored, shared_dir, stored
 
-__all__ = ["BETWEEN", "UPPER", "ascii_lower", "hex_digits", "remove_stored", "shared_dir", "stored", "table", "with_rid", "word_array"]
+__all__ = ["BETWEEN", "UPPER", "ascii_lower", "hex_digits", "packed", "remove_stored", "shared_dir", "stored", "table", "unpacked", "with_rid", "word_array"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words of digits, ASCII letters and everything beyond ASCII.
@@ -33,6 +33,16 @@ def with_rid(df: DataFrame) -> DataFrame:
     return df.withColumn("_rid", F.monotonically_increasing_id())
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """_rid, _row (all columns of a row), doc_id and text: whatever else a row holds can't clash with names used here."""
+    return with_rid(df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"))).select("_rid", "_row", "_row.doc_id", "_row.text")
+
+
+def unpacked(df: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
+    """The `columns` of `_row` again, with `text` replaced if it is given."""
+    return df.select(*[text.alias(c) if c == "text" and text is not None else F.col("_row").getField(c).alias(c) for c in columns])
+
+
 def hex_digits(c: Column) -> Column:
     """A long as 16 lower-case hex digits."""
     return F.lpad(F.lower(F.hex(c)), 16, "0")

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import BETWEEN, UPPER, table, with_rid, word_array
+from lattica.llm.common import BETWEEN, UPPER, packed, table, unpacked, with_rid, word_array
 
 WINDOW = 10
 #: Rows of windows in one broadcast, at some 200 bytes each.
@@ -106,11 +106,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode: str = "m
     """
     if mode not in ("documents", "spans", "mixed"):
         raise ValueError(f"no such mode: {mode}")
-    rid = with_rid(docs)
+    rid = packed(docs)
     h = hits(rid.select("_rid", "doc_id", "text"), benchmark, n).filter(F.size("_runs") > 0).select("_rid", "_runs")
     out = rid.join(h, "_rid", "left")
     if mode == "documents":
-        return out.filter(F.col("_runs").isNull()).select(*[rid[c] for c in docs.columns])
+        return unpacked(out.filter(F.col("_runs").isNull()), docs.columns)
     if mode == "mixed":
         out = out.filter(F.coalesce(~F.exists("_runs", lambda r: r["len"] >= n), F.lit(True)))
     word = BETWEEN.replace("[", "[^", 1)
@@ -118,8 +118,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode: str = "m
     hit = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["start"], r["start"] + r["len"] - 1))))
     kept = F.transform(words, lambda w, i: F.when(F.array_contains(F.col("_hit"), i), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
     cut = F.concat(F.array_join(kept, ""), F.element_at(gaps, -1))
-    out = out.withColumn("_hit", hit).withColumn("text", F.when(F.col("_runs").isNotNull(), cut).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    return unpacked(out.withColumn("_hit", hit), docs.columns, F.when(F.col("_runs").isNotNull(), cut).otherwise(F.col("text")))
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import stored, table, with_rid
+from lattica.llm.common import packed, stored, table, unpacked, with_rid
 
 MEAN_LINES, LONG = 3, 50
 _MULTIPLIER, _WRAP = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -107,6 +107,7 @@ def repeats(rid: DataFrame) -> DataFrame:
 
 
 def _applied(rid: DataFrame) -> DataFrame:
+    """`rid` with _new: the text that is left, and counts."""
     return rid.join(repeats(rid.select("_rid", "doc_id", "text")), "_rid", "left").withColumn("_new", _without("text", "_gone"))
 
 
@@ -118,8 +119,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """`docs` with the repeated chunks cut out of `text`."""
-    out = _applied(with_rid(docs))
-    return out.select(*[F.col("_new.text").alias("text") if c == "text" else out[c] for c in docs.columns])
+    return unpacked(_applied(packed(docs)), docs.columns, F.col("_new.text"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

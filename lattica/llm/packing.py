@@ -190,9 +190,12 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS
     big = [(n, c) for n, c in sorted(lengths.items(), reverse=True) if large <= n < capacity and c]
     rest = {n: c for n, c in lengths.items() if n < large and c}
     # Groups of equal cardinality, longest first; a length may stand in more than one.
+    dealt: list[list[tuple[int, int]]] = []
     total = sum(c for _, c in big)
-    each, dealt, left = -(-total // groups) if total else 0, [], []
-    for n, c in big:
+    each = -(-total // groups)
+    if len(big) <= groups:  # few lengths need no rounding
+        dealt = [[x] for x in big]
+    for n, c in big if len(big) > groups else ():
         while c:
             if not dealt or sum(x for _, x in dealt[-1]) >= each:
                 dealt.append([])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import packed, table, unpacked
 
 FEATURES = 1 << 16
 SAMPLE = 4096
@@ -149,7 +149,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 def filtered(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` without the rows that the classifier rejects."""
     model = train(docs, labels, sample)
-    return docs.withColumn("_score", scored(docs, model)).filter(F.col("_score") >= threshold).select(*docs.columns)
+    kept = packed(docs).withColumn("_score", scored(docs, model)).filter(F.col("_score") >= threshold)
+    return unpacked(kept, docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import hex_digits, stored, table, with_rid
+from lattica.llm.common import hex_digits, packed, stored, table, unpacked, with_rid
 from lattica.llm.components import components
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -151,7 +151,7 @@ def links(nodes: DataFrame, bits: int = BITS, n: int | None = None) -> DataFrame
         own = F.col("_fp").bitwiseAND(F.lit(_mask(part)))
         if t:
             flips = F.explode(F.array(*[F.lit(x) for x in _flips(part, t)]))
-            probes = nodes.select(F.col("_fp").alias("a"), flips.alias("x")).select("a", F.col("a").bitwiseAND(F.lit(_mask(part))).bitwiseXOR("x").alias("k"))
+            probes = nodes.select(F.col("_fp").alias("a"), flips.alias("x")).select("a", F.col("a").bitwiseAND(F.lit(_mask(part))).bitwiseXOR(F.col("x")).alias("k"))
             found.append(probes.join(nodes.select(F.col("_fp").alias("b"), own.alias("k")), "k").filter((F.col("a") < F.col("b")) & _near(bits)).select("a", "b"))
             continue
         rest = [x for x in range(64) if x not in part]
@@ -205,10 +205,10 @@ def report(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFra
 
 def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id (then the first such row)."""
-    rid = with_rid(docs)
+    rid = packed(docs)
     c = stored(clusters(rid.select("_rid", "doc_id", "text"), bits, shingle), "simhash-clusters")
     keep = c.groupBy("_group").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid"))
-    return rid.join(keep.select("_rid"), "_rid", "left_semi").select(*docs.columns)
+    return unpacked(rid.join(keep.select("_rid"), "_rid", "left_semi"), docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
