@@ -3,8 +3,8 @@
 Documents become tokens; longer ones than a sequence are cut. Only the lengths matter then, and there are at most CAPACITY
 of them, so the packing is computed on the driver over (length, number of pieces): large lengths are dealt into
 GROUPS groups of equal cardinality and rounded up to their group's largest, a linear program over configurations of these few sizes
-is solved by column generation, its whole parts become sequences whose places take actual lengths, and what is left
-(leftovers and small lengths) is put best-fit, longest first, into what room remains. Runs of equal sequences are kept as counts, so the
+is solved by column generation, and its whole parts become sequences whose places take actual lengths, but for each configuration's smallest
+place. What is left (that place's items, leftovers and small lengths) is put best-fit, longest first, into what room remains. Runs of equal sequences are kept as counts, so the
 work doesn't grow with the number of documents. The pieces take their places by their gapless number among those of their length.
 
 Defined cases: a null or empty text is one piece, the end token; rows that repeat a doc_id are packed each by itself; an empty
@@ -216,6 +216,7 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS
         queue = {s: list(by_size[s]) for s in sizes}
         for col, often in configurations(sizes, [sum(c for _, c in by_size[s]) for s in sizes], capacity):
             slots = [s for s, a in zip(sizes, col, strict=True) for _ in range(a)]
+            slots = slots[: max(1, len(slots) - 1)]  # the smallest place is left to best fit, which sees actual lengths
             number = int(often + 1e-9)
             for s in set(slots):
                 number = min(number, sum(c for _, c in queue[s]) // slots.count(s))
