@@ -180,3 +180,39 @@ def neighbourhood(symbols: DataFrame, usages: DataFrame, file_id: Column) -> Dat
     a = usages.join(own, F.col("from_symbol") == F.col("_s"), "left_semi")
     b = usages.join(own, F.col("to_symbol") == F.col("_s"), "left_semi")
     return a.union(b).distinct()
+
+
+def complex_files(files: DataFrame, limit: int = COMPLEXITY_LIMIT) -> DataFrame:
+    """Files whose total complexity is above the limit."""
+    return files.filter(F.col("complexity_total") > limit)
+
+
+def highlighted(files: DataFrame, asked: str) -> DataFrame:
+    """id, matches: whether a file's relative path holds `asked`; a blank one marks nothing."""
+    q = asked.strip().lower()
+    return files.select("id", (F.lower("rel_path").contains(q) if q else F.lit(False)).alias("matches"))
+
+
+def in_cycle_path(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """Files that lie on one of the cycles' paths, which may be fewer than their components' members."""
+    on = graph.cycle_paths(edges).select(F.explode("path").alias("id")).distinct()
+    return files.join(on, "id", "left_semi")
+
+
+def ring_places(distances: DataFrame, radius: int = 90) -> DataFrame:
+    """id, x, y: on a ring for each hop, at even angles in order of id."""
+    ring = Window.partitionBy("hop")
+    angle = 2 * F.pi() * (F.row_number().over(ring.orderBy("id")) - 1) / F.count("*").over(ring)
+    return distances.select("id", (F.col("hop") * radius * F.cos(angle)).alias("x"), (F.col("hop") * radius * F.sin(angle)).alias("y"))
+
+
+def nodes_drawn(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, size: grows with the edges that come in."""
+    return graph.edge_counts(files, edges).select("id", classify.node_size(F.col("incoming")).cast("long").alias("size"))
+
+
+def overview(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row of totals, with the number of edge rows and of entry points."""
+    n = edges.agg(F.count("*").alias("edges"))
+    e = files.agg(F.count_if("is_entry_point").alias("entry_points"))
+    return summary(files, edges).crossJoin(n).crossJoin(e)  # single rows

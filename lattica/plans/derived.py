@@ -39,6 +39,14 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLDERS = ["components", "services", "pages", "db", "config", "hooks", "app", "misc"]
 
 
+def virtual_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, path, content: a source text for each part, whose statements are the part's edges."""
+    said = F.when(F.col("kind") == "import", F.concat(F.lit('import { x } from "./p'), F.col("dst"), F.lit('";'))).when(F.col("kind") == "reExport", F.concat(F.lit('export { x } from "./p'), F.col("dst"), F.lit('";'))).otherwise(F.concat(F.lit('const y = require("./p'), F.col("dst"), F.lit('");')))
+    text = part_edges(spark, sf_dir).select("src", said.alias("said")).groupBy("src").agg(F.array_join(F.array_sort(F.collect_list("said")), "\n").alias("content"))
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    return ids.join(text.withColumnRenamed("src", "id"), "id", "left").select("id", F.concat(F.lit("/v/p"), F.col("id"), F.lit(".ts")).alias("path"), F.concat(F.lit("// file\n"), F.coalesce("content", F.lit(""))).alias("content"))
+
+
 def key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst: rows as "table:key", from the row that refers to the one referred to."""
     t = lambda name: table(spark, sf_dir, name)

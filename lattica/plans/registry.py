@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.functions import classify
 from lattica.operators import analytics, graph, resolve
-from lattica.plans.derived import EVENT_SQL, FK_SQL, SQL, event_usages, key_edges, part_edges, part_files, table
+from lattica.plans.derived import EVENT_SQL, FK_SQL, SQL, event_usages, key_edges, part_edges, part_files, table, virtual_sources
+from lattica.plans.project import read_facts, resolved
+from lattica.sources.project_files import Resolver
+from lattica.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -277,3 +279,40 @@ def nearest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.nearest_enclosing(e, r, "scope")
 
 
+
+
+@query("SELECT '/v/p' || src || '.ts' AS src, '/v/p' || dst || '.ts' AS dst, kind, count(*) AS edges FROM pe GROUP BY src, dst, kind")
+def parse_virtual_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    facts = stored(read_facts(virtual_sources(spark, sf_dir).repartition(8), Resolver()), "facts")
+    return resolved(facts).groupBy(F.col("path").alias("src"), F.col("to").alias("dst"), "kind").agg(F.count("*").alias("edges"))
+
+
+@query("SELECT id, path, complexity_total FROM f WHERE complexity_total > 10")
+def complex_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.complex_files(part_files(spark, sf_dir)).select("id", "path", F.col("complexity_total").cast("int"))
+
+
+@query("SELECT id, contains(lower(path), 'brand1/') AS matches FROM f")
+def search_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.highlighted(part_files(spark, sf_dir), " Brand1/ ")
+
+
+@query("SELECT id, least(40, greatest(10, 10 + 3 * (SELECT count(*) FROM pe WHERE dst = f.id)))::BIGINT AS size FROM f")
+def node_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.nodes_drawn(part_files(spark, sf_dir), part_edges(spark, sf_dir))
+
+
+@query(_CYCLES_SQL + """ SELECT count(*) AS files, sum(component_count)::BIGINT AS components, sum(function_count)::BIGINT AS functions, sum(class_count)::BIGINT AS classes, sum(import_count)::BIGINT AS imports, sum(export_count)::BIGINT AS exports, sum(complexity_total)::BIGINT AS complexity,
+ (SELECT count(DISTINCT scc_id) FROM m) AS circular_deps, (SELECT count(*) FROM f WHERE NOT is_entry_point AND id NOT IN (SELECT dst FROM pe)) AS orphan_files, (SELECT count(*) FROM pe) AS edges, count(*) FILTER (is_entry_point) AS entry_points FROM f""", recursive=True)
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.overview(part_files(spark, sf_dir), part_edges(spark, sf_dir))
+
+
+@query(None)
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.in_cycle_path(part_files(spark, sf_dir), part_edges(spark, sf_dir)).select("id")
+
+
+@query(None)
+def ring_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.ring_places(hop_distance(spark, sf_dir))
