@@ -17,6 +17,7 @@ doc_id takes part but names no component unless all its ids are null; an empty t
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,14 +105,20 @@ def _flips(bits: list[int], most: int) -> list[int]:
     return [_mask(list(c)) for k in range(most + 1) for c in itertools.combinations(bits, k)]
 
 
-def _estimate(nodes: DataFrame, bits: list[int], t: int, n: int) -> float:
-    """Probes and expected candidates for a part with threshold t: pairs equal on the part, counted over all
-    fingerprints, times the number of ways to flip up to t bits; beyond t 0, near values count as full as equal ones."""
+def _equal_pairs(nodes: DataFrame, parts: list[list[int]]) -> list[float]:
+    """For each part, the number of ordered pairs of fingerprints that agree on it, themselves included."""
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("part"), F.col("_fp").bitwiseAND(F.lit(_mask(p))).alias("v")) for k, p in enumerate(parts)]))
+    counts = nodes.select(values.alias("x")).groupBy("x.part", "x.v").agg(F.count("*").cast("double").alias("c"))
+    got = {r["part"]: r["n"] for r in counts.groupBy("part").agg(F.sum(F.col("c") * F.col("c")).alias("n")).collect()}
+    return [got.get(k, 0.0) for k in range(len(parts))]
+
+
+def _cost(width: int, t: int, n: int, same: float) -> float:
+    """Probes and expected candidates of a part with threshold t; beyond t 0, values near a fingerprint's count as evenly filled."""
     if t < 0:
         return 0.0
-    ways = len(_flips(bits, t))
-    same = nodes.groupBy(F.col("_fp").bitwiseAND(F.lit(_mask(bits))).alias("v")).agg(F.count("*").alias("c")).agg(F.sum(F.col("c") * F.col("c")).cast("double")).first()[0] or 0.0
-    return ways * (n + (same - n) / 2 + (0 if t == 0 else n * n / 2.0 ** len(bits)))
+    ways = sum(math.comb(width, k) for k in range(t + 1))
+    return ways * (n + (same - n) / 2 + (0 if t == 0 else n * n / 2.0**width))
 
 
 def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
@@ -129,11 +136,13 @@ def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int
 
 def plan(nodes: DataFrame, n: int, bits: int = BITS) -> list[tuple[list[int], int]]:
     """(bits of the part, threshold) for each part that is probed."""
-    gram, choices = _gram(nodes), []
-    for parts in range(1, bits + 3):
-        groups = grouped_bits(gram, n, parts)
-        costs = [{t: _estimate(nodes, g, t, n) for t in range(-1, max(0, bits - parts + 2) + 1)} for g in groups]
-        choices.append((*allocate(costs, bits - parts + 1), groups))
+    gram = _gram(nodes)
+    dealt = [grouped_bits(gram, n, parts) for parts in range(1, bits + 3)]
+    same = iter(_equal_pairs(nodes, [g for groups in dealt for g in groups]))
+    choices = []
+    for groups in dealt:
+        costs = [{t: _cost(len(g), t, n, s) for t in range(-1, bits + 1)} for g, s in [(g, next(same)) for g in groups]]
+        choices.append((*allocate(costs, bits - len(groups) + 1), groups))
     _, ts, groups = min(choices, key=lambda x: x[0])
     return [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0]
 
