@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,17 @@ def word_array(c: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(ascii_lower(c), F.lit("")), BETWEEN), "")
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """`df` if it only scans, projects and filters, so that its rows stand in the same partitions whenever it is read;
+    else stored. Shuffles may be dealt differently each time, and with them the ids of rows."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*(\w+)", line))}
+    return df if nodes <= {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Range"} else stored(df, "rows")
+
+
 def with_rid(df: DataFrame) -> DataFrame:
     """Adds `_rid`, an id of the row: doc_id may be null or repeated."""
-    return df.withColumn("_rid", F.monotonically_increasing_id())
+    return repeatable(df).withColumn("_rid", F.monotonically_increasing_id())
 
 
 def packed(df: DataFrame) -> DataFrame:
