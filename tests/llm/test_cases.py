@@ -310,3 +310,12 @@ def test_licenses(spark):
     got = {r["doc_id"]: (r["licence"], r["how"], r["from_dir"]) for r in licenses.scan(d.withColumn("_dir", F.lit(1))).collect()}
     assert got == {1: ("MIT", "own", None), 2: ("MIT", "inherited", "a/b"), 3: (None, None, None), 4: ("Apache-2.0", "own", None), 5: ("CC-BY-NC-4.0", "own", None), 6: (None, None, None), 7: ("MIT", "inherited", "a/b"), 8: (None, None, None)}
     assert licenses.scan(d.limit(0)).count() == 0
+
+
+def test_row_ids_hold_over_shuffles(spark, docs, none):
+    from lattica.llm import common
+
+    assert common.repeatable(docs) is docs
+    shuffled = docs.repartition(5, "key").unionByName(docs.groupBy(*docs.columns).count().drop("count"))
+    assert common.repeatable(shuffled) is not shuffled
+    assert linededup.dedup(shuffled).count() == len(ROWS) + len(set(ROWS))
