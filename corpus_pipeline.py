@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattica.llm import decontaminate, linededup, packing, quality, simhash
+from lattica.llm import decontaminate, linededup, neardup, packing, quality
 from lattica.llm.common import stored, table
 
 
@@ -23,8 +23,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest doc_id."""
-    return simhash.dedup(docs)
+    """One document of each group of near copies (five-word shingles at Jaccard 0.8 or more) stays, the one of the smallest doc_id."""
+    return neardup.dedup(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
