@@ -1,6 +1,6 @@
 """A corpus pipeline of the training-data operators; each stage works on what the one before it kept.
 
-Texts of rows that stay change in two stages: repeated chunks of lines are cut out (a text may become empty; the near-dedup then keeps one
+Texts of rows that stay change in two stages: repeated runs of lines are cut out (a text may become empty; the near-dedup then keeps one
 such row), and benchmark spans that only items of fewer than ten words have. Null texts are kept as they are.
 """
 
@@ -18,7 +18,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go, but for their first occurrence."""
+    """Repeated runs of two lines or more, and repeated long lines, go, but for their first occurrence."""
     return linededup.dedup(docs)
 
 

@@ -1,14 +1,17 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by shared runs of lines.
 
-A rolling hash over the hashes of the last two lines ends a chunk where it is a multiple of MEAN_LINES, so boundaries
-move with the content and an insertion shifts none but its neighbours. A line of LONG words or more is a chunk of its own wherever
-it stands. Chunks of two lines or more, and such long lines, that occur more than once in the corpus are removed but for their
-first occurrence (smallest doc_id, then place), after a comparison of their bytes with it.
+Two lines that stand together more than once in the corpus are a repeat, and so is a line of LONG words or more by itself. All occurrences but the
+first (smallest doc_id, then place) are removed, after a comparison of their bytes with it. A run of two lines or more that texts share is
+a run of such pairs, so it goes from end to end, wherever it stands and whatever surrounds it. Pairs of blank lines are no repeats; blank lines
+between removed ones go with them. Of two overlapping occurrences in one text (three equal lines), the first keeps its lines.
 
-Only hashes are shuffled to find repeats; the bytes of repeated chunks meet those of the first occurrence in a join in which the first
-occurrence is one row, so a chunk that a third of all documents share is split like any skewed join.
+Every removed line stands in an earlier occurrence of its pair, and is kept there or removed for one earlier still; so each line of the corpus is
+left somewhere.
 
-Defined cases: a null text stays null, an empty one empty; a text whose chunks all go becomes empty; rows that repeat a doc_id are distinct documents, the
+Only hashes are shuffled to find repeats; the bytes of repeats meet those of the first occurrence in a join in which the first
+occurrence is one row, so a passage that a third of all documents share is split like any skewed join.
+
+Defined cases: a null text stays null, an empty one empty; a text whose lines all go becomes empty; rows that repeat a doc_id are distinct documents, the
 row read first coming first; an empty table gives an empty result; `dedup` keeps other columns.
 """
 
@@ -21,61 +24,61 @@ from pyspark.sql import types as T
 
 from lattica.llm.common import packed, stored, table, unpacked, with_rid
 
-MEAN_LINES, LONG = 3, 50
-_MULTIPLIER, _WRAP = 0x9E3779B97F4A7C15, (1 << 64) - 1
-
+LONG = 50
 
-def chunks(text: str, mean: int = MEAN_LINES, long: int = LONG) -> list[tuple[list[str], bool]]:
-    """(lines, whether the chunk may be removed) in order; the lines joined by line feeds give the text again."""
-    import xxhash
 
-    out: list[tuple[list[str], bool]] = []
-    run: list[str] = []
-    before = 0
-
-    def close() -> None:
-        if run:
-            out.append((run.copy(), len(run) > 1 and any(x.strip() for x in run)))
-            run.clear()
-
-    for line in text.split("\n"):
-        h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"))
-        if len(line.split()) >= long:
-            close()
-            out.append(([line], True))
-        else:
-            run.append(line)
-            if ((before * _MULTIPLIER + h) & _WRAP) % mean == 0:
-                close()
-        before = h
-    close()
-    return out
+def chunks(text: str, long: int = LONG) -> list[tuple[list[str], bool]]:
+    """(lines, whether they may be removed by themselves) in order, line by line; the lines joined by line feeds give the text again."""
+    return [([x], len(x.split()) >= long) for x in text.split("\n")]
 
 
 def _bytes(lines: list[str]) -> bytes:
     return "\n".join(lines).encode("utf-8", "surrogatepass")
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("at", T.IntegerType()).add("key", T.LongType())))
+def repeatable(text: str) -> list[tuple[int, int, bytes]]:
+    """(first line, number of lines, bytes) of what may be removed: long lines, and pairs of lines that aren't both blank."""
+    own = [(_bytes(lines), alone, bool(lines[0].strip())) for lines, alone in chunks(text)]
+    out = [(i, 1, x) for i, (x, alone, _) in enumerate(own) if alone]
+    return out + [(i, 2, x + b"\n" + y) for i, ((x, _, some), (y, _, more)) in enumerate(zip(own, own[1:], strict=False)) if some or more]
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("at", T.IntegerType()).add("size", T.IntegerType()).add("key", T.LongType())))
 def _keys(texts: pa.Array) -> pa.Array:
     import xxhash
 
     rows = []
     for t in texts:
-        found = enumerate(chunks(t.as_py())) if t.is_valid else ()
-        rows.append([{"at": i, "key": xxhash.xxh64_intdigest(_bytes(c)) - (1 << 63)} for i, (c, may) in found if may])
-    return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())])))
+        found = repeatable(t.as_py()) if t.is_valid else ()
+        rows.append([{"at": i, "size": n, "key": xxhash.xxh64_intdigest(x) - (1 << 63)} for i, n, x in found])
+    return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("key", pa.int64())])))
 
 
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _at(texts: pa.Array, at: pa.Array) -> pa.Array:
+def _at(texts: pa.Array, at: pa.Array, size: pa.Array) -> pa.Array:
     rows = []
-    for t, a in zip(texts, at, strict=True):
-        own = chunks(t.as_py())
-        rows.append([_bytes(own[i][0]) for i in a.as_py()])
+    for t, a, n in zip(texts, at, size, strict=True):
+        own = t.as_py().split("\n")
+        rows.append([_bytes(own[i : i + k]) for i, k in zip(a.as_py(), n.as_py(), strict=True)])
     return pa.array(rows, pa.list_(pa.binary()))
 
 
+def removed(lines: list[str], gone: list[int]) -> list[bool]:
+    """Which lines go: those numbered in `gone`, and blank ones between two of them."""
+    drop = [False] * len(lines)
+    for i in gone:
+        drop[i] = True
+    last = None
+    for i, x in enumerate(lines):
+        if drop[i]:
+            if last is not None:
+                drop[last + 1 : i] = [True] * (i - last - 1)
+            last = i
+        elif x.strip():
+            last = None
+    return drop
+
+
 @F.arrow_udf(T.StructType().add("text", T.StringType()).add("lines", T.LongType()).add("removed_lines", T.LongType()).add("removed_chunks", T.LongType()))
 def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
     rows = []
@@ -83,27 +86,32 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
         if not t.is_valid:
             rows.append({"text": None, "lines": 0, "removed_lines": 0, "removed_chunks": 0})
             continue
-        text, drop = t.as_py(), set(g.as_py() or ())
-        own = chunks(text) if drop else []
-        kept = [x for i, (c, _) in enumerate(own) if i not in drop for x in c]
-        cut = sum(len(c) for i, (c, _) in enumerate(own) if i in drop)
-        rows.append({"text": "\n".join(kept) if drop else text, "lines": text.count("\n") + 1, "removed_lines": cut, "removed_chunks": len(drop)})
+        text = t.as_py()
+        own = text.split("\n")
+        drop = removed(own, g.as_py() or [])
+        kept = [x for x, d in zip(own, drop, strict=True) if not d]
+        runs = sum(d and not before for d, before in zip(drop, [False, *drop], strict=False))
+        rows.append({"text": "\n".join(kept), "lines": len(own), "removed_lines": len(own) - len(kept), "removed_chunks": runs})
     return pa.array(rows, pa.struct([("text", pa.string()), ("lines", pa.int64()), ("removed_lines", pa.int64()), ("removed_chunks", pa.int64())]))
 
 
 def repeats(rid: DataFrame) -> DataFrame:
-    """_rid, _gone (numbers of the chunks to remove) for rows (_rid, doc_id, text) that lose any."""
-    found = rid.select("_rid", "doc_id", F.explode(_keys("text")).alias("_k")).select("_rid", "doc_id", "_k.at", "_k.key")
-    found = stored(found, "line-chunks")
+    """_rid, _gone (numbers of the lines to remove) for rows (_rid, doc_id, text) that lose any."""
+    found = rid.select("_rid", "doc_id", F.explode(_keys("text")).alias("_k")).select("_rid", "doc_id", "_k.at", "_k.size", "_k.key")
+    found = stored(found, "line-pairs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "_rid", "at")).alias("_first")
-    shared = found.groupBy("key").agg(F.count("*").alias("_n"), first).filter("_n > 1").select("key", F.col("_first._rid").alias("_r"), F.col("_first.at").alias("_a"))
-    again = found.join(shared, "key").select("_rid", F.struct("at", "key", ((F.col("_rid") == F.col("_r")) & (F.col("at") == F.col("_a"))).alias("head")).alias("_c"))
+    shared = found.groupBy("key", "size").agg(F.count("*").alias("_c"), first).filter("_c > 1").select("key", "size", F.col("_first._rid").alias("_r"), F.col("_first.at").alias("_a"))
+    head = (F.col("_rid") == F.col("_r")) & (F.col("at") == F.col("_a"))
+    # An occurrence that begins on the second line of the first one leaves that line.
+    laps = (F.col("_rid") == F.col("_r")) & (F.col("size") == 2) & (F.col("at") == F.col("_a") + 1)
+    again = found.join(shared, ["key", "size"]).select("_rid", F.struct("at", "size", "key", head.alias("head"), laps.alias("laps")).alias("_c"))
     per = again.groupBy("_rid").agg(F.collect_list("_c").alias("_c"))  # of one document
-    bodies = rid.select("_rid", "text").join(per, "_rid").select("_rid", F.explode(F.arrays_zip("_c", _at("text", F.col("_c.at")).alias("_b"))).alias("_z"))
-    bodies = stored(bodies.select("_rid", "_z._c.at", "_z._c.key", "_z._c.head", F.col("_z._b").alias("body")), "line-bodies")
-    heads = bodies.filter("head").select("key", F.col("body").alias("_head"))
-    same = bodies.filter("not head").join(heads, "key").filter("body = _head")
-    return same.groupBy("_rid").agg(F.collect_list("at").alias("_gone"))
+    bodies = rid.select("_rid", "text").join(per, "_rid").select("_rid", F.explode(F.arrays_zip("_c", _at("text", F.col("_c.at"), F.col("_c.size")).alias("_b"))).alias("_z"))
+    bodies = stored(bodies.select("_rid", "_z._c.at", "_z._c.size", "_z._c.key", "_z._c.head", "_z._c.laps", F.col("_z._b").alias("body")), "line-bodies")
+    heads = bodies.filter("head").select("key", "size", F.col("body").alias("_head"))
+    same = bodies.filter("not head").join(heads, ["key", "size"]).filter("body = _head")
+    lines = F.sequence(F.col("at") + F.col("laps").cast("int"), F.col("at") + F.col("size") - 1)
+    return same.groupBy("_rid").agg(F.array_distinct(F.flatten(F.collect_list(lines))).alias("_gone"))
 
 
 def _applied(rid: DataFrame) -> DataFrame:
@@ -112,13 +120,13 @@ def _applied(rid: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, lines, removed_lines, removed_chunks, text_crc32 (of the text that is left) for each row of `docs`."""
+    """doc_id, lines, removed_lines, removed_chunks (runs of lines), text_crc32 (of the text that is left) for each row of `docs`."""
     out = _applied(with_rid(docs.select("doc_id", "text")))
     return out.select("doc_id", "_new.lines", "_new.removed_lines", "_new.removed_chunks", F.crc32(F.coalesce("_new.text", F.lit(""))).alias("text_crc32"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with the repeated chunks cut out of `text`."""
+    """`docs` with the repeated runs of lines cut out of `text`."""
     return unpacked(_applied(packed(docs)), docs.columns, F.col("_new.text"))
 
 
