@@ -6,8 +6,8 @@ least `least`. A file is a licence file if that passage makes up at least `share
 file (the first by path). A file without a licence of its own takes that of its nearest ancestor directory which has one, by joins over
 directories' paths, so that files meet only one row of their own directory.
 
-Only texts with one of the templates' marker words are compared; each template holds one, and without it no passage comes near
-the threshold.
+A text is compared to those templates only of which it holds words of enough weight: the cosine of a passage to a template is at most the length
+of the template's part in the passage's words over the template's length (Cauchy-Schwarz), and a passage has no words but its text's.
 
 Defined cases: null and empty texts hold no licence; a null path has no directory and inherits nothing; rows that repeat a path are judged each
 by itself; an empty table gives an empty result; other columns are ignored.
@@ -35,7 +35,6 @@ TEMPLATES = {
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
 }
-MARKERS = r"(?i:licen[sc]e|redistribution|permission)"
 LEAST, SHARE = 0.8, 0.5
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -50,10 +49,15 @@ def _vector(words: Counter, idf: dict[str, float], most: float) -> tuple[dict[st
     return v, math.sqrt(sum(x * x for x in v.values()))
 
 
-def best(text: str, templates: list[tuple[str, dict[str, float], float]], idf: dict[str, float], most: float) -> tuple[str | None, float, float]:
-    """Licence, cosine and share of the text's words for the most similar passage; ties by template order, then the longer passage."""
-    whole = len(terms(text))
+def best(text: str, templates: list[tuple[str, dict[str, float], float]], idf: dict[str, float], most: float, least: float = 0.0) -> tuple[str | None, float, float]:
+    """Licence, cosine and share of the text's words for the most similar passage; ties by template order, then the longer passage.
+    Templates that no passage can come within `least` of are left out."""
+    found = terms(text)
+    whole, held = len(found), set(found)
     top: tuple[str | None, float, float] = (None, 0.0, 0.0)
+    templates = [(name, t, n) for name, t, n in templates if math.sqrt(sum(x * x for w, x in t.items() if w in held)) >= (least - 1e-9) * n]
+    if not templates:
+        return top
     for p in dict.fromkeys([text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]):
         words = Counter(terms(p))
         if not any(w in idf for w in words):
@@ -66,8 +70,8 @@ def best(text: str, templates: list[tuple[str, dict[str, float], float]], idf: d
     return top
 
 
-def own(files: DataFrame) -> DataFrame:
-    """`files` (key columns, path, text) with _licence, _cosine, _share of the most similar passage."""
+def own(files: DataFrame, least: float = LEAST) -> DataFrame:
+    """`files` (key columns, path, text) with _m (licence, cosine, share) of the most similar passage, right where its cosine is at least `least`."""
     vocabulary = sorted({w for ts in TEMPLATES.values() for t in ts for w in terms(t)})
     total = files.count()
     met = files.select(F.explode(F.array_intersect(word_array(F.col("text")), F.array(*[F.lit(w) for w in vocabulary]))).alias("w"))
@@ -78,11 +82,10 @@ def own(files: DataFrame) -> DataFrame:
 
     @F.arrow_udf("struct<licence:string,cosine:double,share:double>")
     def compared(texts: pa.Array) -> pa.Array:
-        rows = [dict(zip(("licence", "cosine", "share"), best(t.as_py(), templates, idf, most), strict=True)) if t.is_valid else None for t in texts]
+        rows = [dict(zip(("licence", "cosine", "share"), best(t.as_py(), templates, idf, most, least), strict=True)) if t.is_valid else None for t in texts]
         return pa.array(rows, pa.struct([("licence", pa.string()), ("cosine", pa.float64()), ("share", pa.float64())]))
 
-    # Only texts with a marker go to Python.
-    return files.withColumn("_m", compared(F.when(F.col("text").rlike(MARKERS), F.col("text"))))
+    return files.withColumn("_m", compared("text"))
 
 
 def parent(path: F.Column) -> F.Column:
@@ -92,7 +95,7 @@ def parent(path: F.Column) -> F.Column:
 
 def scan(files: DataFrame, least: float = LEAST, share: float = SHARE) -> DataFrame:
     """doc_id, path, licence, cosine, how ("own", "inherited" or null), from_dir for each row of `files` (doc_id, path, text)."""
-    judged = own(files.select("doc_id", "path", "text"))
+    judged = own(files.select("doc_id", "path", "text"), least)
     ok = F.col("_m.cosine") >= least
     rows = stored(judged.select("doc_id", "path", parent(F.col("path")).alias("_dir"), F.when(ok, F.col("_m.licence")).alias("_own"), F.when(ok, F.col("_m.cosine")).alias("cosine"), (ok & (F.col("_m.share") >= share)).alias("_is_file")), "licence-rows")
     has = rows.filter("_is_file and _dir is not null").groupBy("_dir").agg(F.min_by("_own", F.struct("path", "doc_id", "_own")).alias("_licence"))
