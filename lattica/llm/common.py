@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.storage import remove_stored, shared_dir, stored
 
-__all__ = ["BETWEEN", "UPPER", "ascii_lower", "hex_digits", "packed", "remove_stored", "shared_dir", "stored", "table", "unpacked", "with_rid", "word_array"]
+__all__ = ["BETWEEN", "UPPER", "ascii_lower", "hex_digits", "others", "packed", "remove_stored", "shared_dir", "stored", "table", "unpacked", "with_rid", "without", "word_array"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words of digits, ASCII letters and everything beyond ASCII.
@@ -48,6 +48,17 @@ def packed(df: DataFrame) -> DataFrame:
     return with_rid(df.select(F.struct(*[df[c] for c in df.columns]).alias("_row"))).select("_rid", "_row", "_row.doc_id", "_row.text")
 
 
+def others(grouped: DataFrame) -> DataFrame:
+    """_rid of the rows (_rid, doc_id, _group) that aren't the first of their group by doc_id, nulls last, then by _rid."""
+    first = grouped.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")).alias("_first"))
+    return grouped.select("_rid").join(first.select("_first._rid"), "_rid", "left_anti")
+
+
+def without(rid: DataFrame, gone: DataFrame) -> DataFrame:
+    """`rid` (as from packed) but for the rows `gone` (_rid). These are written first, so that few of them are broadcast and the texts stay where they are."""
+    return rid.select("_rid", "_row").join(stored(gone, "gone"), "_rid", "left_anti")
+
+
 def unpacked(df: DataFrame, columns: list[str], text: Column | None = None) -> DataFrame:
     """The `columns` of `_row` again, with `text` replaced if it is given."""
     return df.select(*[text.alias(c) if c == "text" and text is not None else F.col("_row").getField(c).alias(c) for c in columns])

@@ -1,12 +1,15 @@
-"""Near copies by the Jaccard similarity of their word shingles: what is at least LEAST alike is linked, and nothing else.
+"""SimHash near-duplicates by similarity: texts whose word shingles have a Jaccard similarity of LEAST or more are linked, and nothing else.
 
-Documents of one shingle set are one node. Each node has MinHashes in BANDS bands of ROWS; nodes that share a band are candidates, and
-candidates are verified exactly, on the words. A pair at similarity 0.8 shares no band with probability (1 - 0.8^5)^36, under one in a
-million, and a closer pair less.
+Texts of one shingle set are one node. A node's fingerprint has as many 64-bit words as the plan needs, each by a hash of its own. Two sets of
+similarity s differ in a bit with probability acos(2s / (1 + s)) / pi at most, 0.15 at 0.8: the ten bits of 64 that this means are too many for a
+guarantee by the pigeonhole principle (every part would be probed for most of its values), so parts and thresholds are chosen for their recall. The bits
+of each word are grouped into parts, correlated bits together; each part has a threshold -1 (not probed), 0 or 1, a hit probability and a cost (probes and
+estimated candidates); dynamic programming finds the cheapest thresholds by which a pair at LEAST is missed with probability MISS at most, a closer one
+less. Nodes that agree on a probed part are candidates; the first CHECKED words of their fingerprints are compared, then the words of their texts.
 
-A band's bucket of up to `HOT` nodes is compared pair by pair. In a larger one all are compared to its least node first; then those pairs whose
-ends aren't in one component yet. So no link is lost to the components, and a large group of near copies takes linear work; a large bucket
-that falls into many components takes all pairs between them.
+Buckets of up to HOT nodes are compared pair by pair. In a larger one all nodes are compared to two of them first; then those outside
+the bucket's largest component to all that aren't in theirs, the bucket dealt into SALTS tasks. So a large group of near copies takes linear work and
+no candidate is left out; a large bucket of texts that are alike, but not LEAST, takes the comparison of all its fingerprints' words.
 
 Defined cases: words are as in simhash; a text of fewer words than a shingle is one shingle; a null or empty text has no shingle, and such
 rows are copies of one another; rows that repeat a doc_id are judged each by itself; an empty table gives an empty result.
@@ -14,6 +17,7 @@ rows are copies of one another; rows that repeat a doc_id are judged each by its
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import packed, stored, unpacked
+from lattica.llm.common import others, packed, stored, unpacked, without
 from lattica.llm.components import components
-
-SHINGLE, LEAST = 5, 0.8
-ROWS, BANDS, SEED = 5, 36, 42
-#: Nodes that a bucket compares pair by pair.
-HOT = 48
+from lattica.llm.simhash import fixing, grouped_bits
+
+SHINGLE, LEAST, SEED = 5, 0.8, 42
+#: Probability that a pair at LEAST isn't found.
+MISS = 0.002
+#: Words of the fingerprint that are compared before the texts, and how many standard deviations beyond the mean of a pair at LEAST still pass.
+CHECKED, DEVIATIONS = 2, 3.5
+#: Evenly spread nodes of a bucket; a probe costs as much as so many comparisons.
+OCCUPANCY, PROBE = 32, 50
+#: Nodes that a bucket compares pair by pair; tasks that a larger one is dealt into.
+HOT, SALTS = 256, 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,40 +79,114 @@ def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-_rng = np.random.default_rng(SEED)
-_XOR = _rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64)
-_TIMES = _rng.integers(0, 1 << 64, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+def fingerprint(h: np.ndarray, n_words: int) -> np.ndarray:
+    """Words of 64 bits: a bit is set if it is set in over half of the shingles' hashes, each word by a hash of its own."""
+    counts = np.zeros(n_words * 64, dtype=np.int64)
+    own = (np.arange(1, n_words + 1, dtype=np.uint64) * _MIX)[None, :]
+    for at in range(0, len(h), 255):  # as many as a byte can count
+        bits = np.unpackbits(_mixed(h[at : at + 255, None] ^ own).view(np.uint8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > len(h), bitorder="little").view(np.int64)
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of a set of hashes; the band is part of the key."""
-    if not len(h):
-        return np.zeros(0, dtype=np.int64)
-    low = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(h), 1024):
-        part = h[at : at + 1024]
-        low = np.minimum(low, ((part[None, :] ^ _XOR[:, None]) * _TIMES[:, None]).min(axis=1))
-    rows = low.reshape(BANDS, ROWS)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mixed(key * _MIX + rows[:, k])
-    return key.view(np.int64)
+def differing(least: float) -> float:
+    """The share of bits in which the fingerprints of two sets differ, at most, if their Jaccard similarity is `least`."""
+    return math.acos(2 * least / (1 + least)) / math.pi
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """_rid, _set (16 bytes that stand for the shingle set), _bands of rows with _rid and text."""
-    import xxhash
+def words_needed(n: int, least: float = LEAST, miss: float = MISS) -> tuple[int, int]:
+    """Words of a fingerprint for n nodes, and the number of parts in each at which evenly filled buckets hold OCCUPANCY nodes."""
+    width = min(32.0, max(6.4, math.log2(max(n, 2) / OCCUPANCY)))
+    per = max(2, round(64 / width))
+    hit = (1 - differing(least)) ** (64 / per)
+    return max(CHECKED + 1, math.ceil(1.15 * math.log(miss) / math.log(1 - hit) / per)), per
+
+
+def signed(docs: DataFrame, n_words: int) -> DataFrame:
+    """_rid, _set (16 bytes that stand for the shingle set), _w (the fingerprint) of rows with _rid and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for b in batches:
-            sets, keys = [], []
+            sets, prints = [], []
             for t in b.column("text"):
                 h = hashes(t.as_py())
                 sets.append(xxhash.xxh3_128_digest(h.tobytes()))
-                keys.append(bands(h))
-            yield pa.RecordBatch.from_arrays([b.column("_rid"), pa.array(sets, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["_rid", "_set", "_bands"])
+                prints.append(fingerprint(h, n_words))
+            own = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * n_words), pa.array(np.concatenate([*prints, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([b.column("_rid"), pa.array(sets, pa.binary()), own], names=["_rid", "_set", "_w"])
+
+    return docs.select("_rid", "text").mapInArrow(run, "_rid long, _set binary, _w array<long>")
 
-    return docs.select("_rid", "text").mapInArrow(run, "_rid long, _set binary, _bands array<long>")
+
+def _grams(nodes: DataFrame, n_words: int) -> np.ndarray:
+    """For each word, 64 x 64: in how many fingerprints both bits are set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_words, 64, 64))
+        for b in batches:
+            w = b.column(0).flatten().to_numpy().astype(np.int64).reshape(-1, n_words)
+            for k in range(n_words):
+                bits = np.unpackbits(np.ascontiguousarray(w[:, k]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                total[k] += bits.T @ bits
+        upper = total[:, *np.triu_indices(64)].ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(upper))), pa.array(upper)], names=["cell", "n"])
+
+    got = nodes.select("_w").mapInArrow(run, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2080 rows a word
+    flat = np.zeros(n_words * 2080)
+    flat[got["cell"].to_numpy()] = got["n"].to_numpy()
+    out = np.zeros((n_words, 64, 64))
+    for k in range(n_words):
+        out[k][np.triu_indices(64)] = flat[k * 2080 : (k + 1) * 2080]
+        out[k] = np.maximum(out[k], out[k].T)
+    return out
+
+
+def allocated(costs: list[dict[int, tuple[float, float]]], need: float, steps: int = 256) -> tuple[float, list[int]]:
+    """The cheapest thresholds whose gains add up to `need`, by dynamic programming over the parts. costs: for each part, threshold to
+    (cost, gain). Gains are rounded down to `steps` parts of the need, so the need is met."""
+    unit = need / steps
+    best: list[tuple[float, tuple]] = [(0.0, ())] + [(math.inf, ())] * steps
+    for options in costs:
+        new = [(math.inf, ())] * (steps + 1)
+        for t, (cost, gain) in options.items():
+            g = int(gain / unit)
+            for s, (c, chain) in enumerate(best):
+                to = min(steps, s + g)
+                if c + cost < new[to][0]:
+                    new[to] = (c + cost, (t, chain))
+        best = new
+    total, chain = best[steps]
+    out: list[int] = []
+    while chain:
+        out.append(chain[0])
+        chain = chain[1]
+    return total, out[::-1]
+
+
+def plan(grams: np.ndarray, n: int, per: int, least: float = LEAST, miss: float = MISS) -> list[tuple[int, int]]:
+    """(word, mask) of each probe: a part's bits, or those but one at threshold 1."""
+    apart, need = differing(least), -math.log(miss)
+    p = np.einsum("kii->ki", grams) / max(n, 1)
+    agree = np.log2(p**2 + (1 - p) ** 2)
+    best: tuple[float, list[tuple[int, int]]] = (math.inf, [])
+    for parts in range(max(1, per - 1), per + 2):
+        of = [(k, g) for k in range(len(grams)) for g in grouped_bits(grams[k], n, parts)]
+        costs = []
+        for k, g in of:
+            options = {-1: (0.0, 0.0)}
+            for t in (0, 1):
+                hit = sum(math.comb(len(g), j) * apart**j * (1 - apart) ** (len(g) - j) for j in range(t + 1))
+                pairs = n * (n - 1) / 2 * 2.0 ** float(agree[k, g].sum() * (len(g) - t) / len(g))
+                options[t] = (math.comb(len(g), t) * (PROBE * n + pairs), -math.log(1 - hit))
+            costs.append(options)
+        total, ts = allocated(costs, need)
+        if total < best[0]:
+            best = (total, [(k, m) for (k, g), t in zip(of, ts, strict=True) if t >= 0 for m in fixing(g, t)])
+    if not best[1]:
+        raise ValueError(f"{len(grams)} words don't do for a miss of {miss}")
+    return best[1]
 
 
 @F.arrow_udf(T.BooleanType())
@@ -116,38 +200,58 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of `pairs` (a, b: _rid of `docs`) that are at least LEAST alike."""
-    pairs = stored(pairs.distinct(), "near-pairs")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("_rid")).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, copies: int = 1) -> DataFrame:
+    """Those of `pairs` (a, b: _rid of `docs`) that are at least LEAST alike. With `copies`, an `a` of many pairs meets them in so many tasks."""
+    pairs = stored(pairs.distinct().withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(copies)).cast("int")), "near-pairs")
+    met = stored(pairs.select(F.explode(F.array("a", "b")).alias("_rid")).distinct(), "near-met")
     texts = stored(docs.select("_rid", "text").join(met, "_rid", "left_semi"), "near-texts")
-    both = pairs.join(texts.select(F.col("_rid").alias("a"), F.col("text").alias("_a")), "a").join(texts.select(F.col("_rid").alias("b"), F.col("text").alias("_b")), "b")
+    left = texts.join(pairs.select(F.col("a").alias("_rid")).distinct(), "_rid", "left_semi") if copies > 1 else texts
+    left = left.select(F.col("_rid").alias("a"), F.col("text").alias("_a"), F.explode(F.array(*[F.lit(k) for k in range(copies)])).alias("_salt"))
+    both = pairs.join(texts.select(F.col("_rid").alias("b"), F.col("text").alias("_b")), "b").join(left, ["a", "_salt"])
     return stored(both.filter(_alike("_a", "_b")).select("a", "b"), "near-links")
 
 
-def _met(x: DataFrame, y: DataFrame) -> DataFrame:
-    return x.select("_k", F.col("_n").alias("a")).join(y.select("_k", F.col("_n").alias("b")), "_k").filter("a < b").select("a", "b")
-
-
 def clusters(docs: DataFrame) -> DataFrame:
     """_rid, _group (the _rid of a row that stands for the component) of rows with _rid and text."""
-    rows = stored(signed(docs), "near-rows")
-    nodes = stored(rows.groupBy("_set").agg(F.min("_rid").alias("_n"), F.first("_bands").alias("_bands")), "near-nodes")
-    keys = nodes.select("_n", F.explode("_bands").alias("_k"))
-    sizes = keys.groupBy("_k").agg(F.count("*").alias("_c"), F.min("_n").alias("_least")).filter("_c > 1")
-    keys = stored(keys.join(sizes, "_k"), "near-buckets")  # buckets of one are gone
-    small, hot = keys.filter(F.col("_c") <= HOT), keys.filter(F.col("_c") > HOT)
-    found = _verified(_met(small, small).unionByName(hot.filter("_n > _least").select(F.col("_least").alias("a"), F.col("_n").alias("b"))), docs)
+    n_words, per = words_needed(docs.count())
+    rows = stored(signed(docs, n_words), "near-rows")
+    nodes = stored(rows.groupBy("_set").agg(F.min_by(F.struct("_rid", "_w"), "_rid").alias("_x")).select("_set", F.col("_x._rid").alias("_n"), "_x._w"), "near-nodes")
+    probes = plan(_grams(nodes, n_words), nodes.count(), per)
+    checked = [f"_w{k}" for k in range(CHECKED)]
+    keys = F.array(*[F.xxhash64(F.lit(k), F.get("_w", F.lit(w)).bitwiseAND(F.lit(m))) for k, (w, m) in enumerate(probes)])
+    keyed = nodes.select("_n", *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
+
+    share = differing(LEAST)
+    most = int(64 * CHECKED * share + DEVIATIONS * math.sqrt(64 * CHECKED * share * (1 - share)))
+
+    def near(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+        """a, b: nodes of one bucket whose checked words are near."""
+        left = x.select(*on, F.col("_n").alias("a"), *[F.col(c).alias(f"{c}a") for c in checked], *[F.col("_of").alias("_ofa")] * ("_of" in x.columns))
+        right = y.select(*on, F.col("_n").alias("b"), *[F.col(c).alias(f"{c}b") for c in checked], *[F.col("_of").alias("_ofb")] * ("_of" in y.columns), *[c for c in ("_most",) if c in y.columns])
+        apart = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in checked)
+        return left.join(right, on).filter(apart <= most)
+
+    big = stored(keyed.groupBy("_k").agg(F.count("*").alias("_c"), *[e(F.struct("_n", *checked)).alias(a) for e, a in ((F.min, "_x"), (F.max, "_y"))]).filter(F.col("_c") > HOT), "near-big")
+    any_big = bool(big.take(1))
+    small = keyed.join(big.select("_k"), "_k", "left_anti") if any_big else keyed
+    found = _verified(near(small, small, ["_k"]).filter("a < b").select("a", "b"), docs)
+    if any_big:
+        hot = stored(keyed.join(big.select("_k"), "_k", "left_semi"), "near-hot")
+        stars = None
+        for x in ("_x", "_y"):
+            s = near(big.select("_k", f"{x}.*"), hot, ["_k"]).filter("a <> b").select("a", "b")
+            stars = s if stars is None else stars.unionByName(s)
+        found = found.unionByName(_verified(stars, docs, SALTS))
     of = stored(components(found), "near-components")
-    if hot.take(1):
-        named = stored(hot.select("_k", "_n").join(of.select(F.col("node").alias("_n"), "component"), "_n", "left").select("_k", "_n", F.coalesce("component", "_n").alias("_of")), "near-hot")
-        mixed = named.groupBy("_k").agg(F.min("_of").alias("_x"), F.max("_of").alias("_y")).filter("_x < _y").select("_k")
-        open_ = named.join(mixed, "_k", "left_semi")
-        x, y = (open_.select("_k", F.col("_n").alias(n), F.col("_of").alias(f"_of_{n}")) for n in ("a", "b"))
-        apart = x.join(y, "_k").filter("_of_a < _of_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = _verified(apart, docs)
+    if any_big:
+        named = stored(hot.join(of.select(F.col("node").alias("_n"), "component"), "_n", "left").withColumn("_of", F.coalesce("component", "_n")).drop("component"), "near-named")
+        most_of = named.groupBy("_k", "_of").agg(F.count("*").alias("_c")).groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"))
+        named = stored(named.join(most_of, "_k").withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int")), "near-placed")
+        rest = named.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        apart = near(rest, named, ["_k", "_salt"]).filter("_ofa <> _ofb and (_ofb = _most or a < b)").select("a", "b")
+        more = _verified(apart, docs, SALTS)
         if more.take(1):
-            of = components(found.unionByName(more))
+            of = stored(components(found.unionByName(more)), "near-components")
     group = nodes.select("_set", "_n").join(of.select(F.col("node").alias("_n"), "component"), "_n", "left").select("_set", F.coalesce("component", "_n").alias("_group"))
     return rows.select("_rid", "_set").join(group, "_set").select("_rid", "_group")
 
@@ -155,6 +259,5 @@ def clusters(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each component stays: that of the smallest doc_id (then the first such row)."""
     rid = packed(docs)
-    c = rid.select("_rid", "doc_id").join(clusters(rid.select("_rid", "text")), "_rid")
-    keep = c.groupBy("_group").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid"))
-    return unpacked(rid.join(keep.select("_rid"), "_rid", "left_semi"), docs.columns)
+    c = stored(clusters(rid.select("_rid", "text")), "near-clusters")
+    return unpacked(without(rid, others(rid.select("_rid", "doc_id").join(c, "_rid"))), docs.columns)

@@ -4,11 +4,10 @@ Fingerprints of whole texts; equal fingerprints are one node. The 64 bits are gr
 together, and each part i gets a threshold t_i >= -1 with sum(t_i) = bits - parts + 1: two fingerprints within `bits`
 then agree up to t_i bits on some part with t_i >= 0. Dynamic programming over the parts picks the thresholds with the fewest
 estimated candidates, for one to four parts; the estimates come from histograms over all fingerprints. Fingerprints
-probe the parts' values, within t_i flips, and Hamming distances are verified.
+share a bucket if they agree on a part but for t_i of its bits; Hamming distances are verified.
 
-A bucket of more than `HOT` fingerprints is divided by the pigeonhole principle over the bits that it doesn't fix, again and again; what stays
-hot with few free bits left is linked through masks (equal after blanking `bits` of the free bits), a star for each. So no task
-gets an unbounded bucket, work stays linear, and no link is lost to the components.
+A bucket of more than `HOT` fingerprints is divided by the pigeonhole principle over the bits that it doesn't fix, until at most `bits` are free; all
+hot buckets of a round in one job, whatever part they come from. So no task gets an unbounded bucket, and no link is lost.
 
 Defined cases: a null or empty text has fingerprint zero, linked like any other; rows that repeat a doc_id are judged each by itself; a null
 doc_id takes part but names no component unless all its ids are null; an empty table gives an empty result.
@@ -19,20 +18,21 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import hex_digits, packed, stored, table, unpacked, with_rid
+from lattica.llm.common import hex_digits, others, packed, stored, table, unpacked, with_rid, without
 from lattica.llm.components import components
 
 BITS, SHINGLE, SEED = 2, 3, 42
 #: Fingerprints that a bucket compares pair by pair.
 HOT = 48
-#: Free bits at which a hot bucket is linked through masks rather than divided.
-MASKED = 20
+#: Masks that a hot bucket is divided by at most, all but `bits` of its free bits fixed; with more free bits it is divided by the pigeonhole principle.
+MASKS = 200
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -101,8 +101,9 @@ def _mask(bits: list[int]) -> int:
     return int(np.array(sum(1 << b for b in bits), dtype=np.uint64).view(np.int64))
 
 
-def _flips(bits: list[int], most: int) -> list[int]:
-    return [_mask(list(c)) for k in range(most + 1) for c in itertools.combinations(bits, k)]
+def fixing(part: list[int], t: int) -> list[int]:
+    """Masks of a part's bits but for `t` of them: values within `t` flips agree under one of the masks."""
+    return [_mask(sorted(set(part) - set(c))) for c in itertools.combinations(part, t)]
 
 
 def _equal_pairs(nodes: DataFrame, parts: list[list[int]]) -> list[float]:
@@ -113,12 +114,13 @@ def _equal_pairs(nodes: DataFrame, parts: list[list[int]]) -> list[float]:
     return [got.get(k, 0.0) for k in range(len(parts))]
 
 
-def _cost(width: int, t: int, n: int, same: float) -> float:
-    """Probes and expected candidates of a part with threshold t; beyond t 0, values near a fingerprint's count as evenly filled."""
+def _cost(width: int, t: int, n: int, same: float, alike: float) -> float:
+    """Probes and expected candidates of a part with threshold t. Of the pairs that agree on the part, each bit let go lets in 1 / `alike` times as
+    many, where `alike` is the share of pairs that agree on a bit; evenly filled buckets are the least."""
     if t < 0:
         return 0.0
-    ways = sum(math.comb(width, k) for k in range(t + 1))
-    return ways * (n + (same - n) / 2 + (0 if t == 0 else n * n / 2.0**width))
+    pairs = max((same - n) / 2 / alike**t, (t > 0) * n * n / 2.0 ** (width - t + 1))
+    return math.comb(width, t) * (n + pairs)
 
 
 def allocate(costs: list[dict[int, float]], total: int) -> tuple[float, list[int]]:
@@ -139,58 +141,46 @@ def plan(nodes: DataFrame, n: int, bits: int = BITS) -> list[tuple[list[int], in
     gram = _gram(nodes)
     dealt = [grouped_bits(gram, n, parts) for parts in range(1, bits + 3)]
     same = iter(_equal_pairs(nodes, [g for groups in dealt for g in groups]))
+    p = np.diag(gram) / max(n, 1)
+    alike = float(np.exp(np.log(p**2 + (1 - p) ** 2).mean()))
     choices = []
     for groups in dealt:
-        costs = [{t: _cost(len(g), t, n, s) for t in range(-1, bits + 1)} for g, s in [(g, next(same)) for g in groups]]
+        costs = [{t: _cost(len(g), t, n, s, alike) for t in range(-1, bits + 1)} for g, s in [(g, next(same)) for g in groups]]
         choices.append((*allocate(costs, bits - len(groups) + 1), groups))
     _, ts, groups = min(choices, key=lambda x: x[0])
     return [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0]
 
 
-def _near(bits: int) -> F.Column:
-    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
+def _divided(mask: int, bits: int) -> list[int]:
+    """Masks of more bits than `mask` has, one of which two values within `bits` flips still agree under if they do under `mask`."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    if math.comb(len(free), bits) <= MASKS:
+        return [_mask([b for b in range(64) if mask >> b & 1 or b in free and b not in c]) for c in itertools.combinations(free, bits)]
+    return [_mask([b for b in range(64) if mask >> b & 1 or b in free[k :: bits + 1]]) for k in range(bits + 1)]
 
 
 def links(nodes: DataFrame, bits: int = BITS, n: int | None = None) -> DataFrame:
-    """a, b: pairs of the distinct `_fp` of `nodes` within `bits`, enough of them to connect what such pairs connect
-    (outside hot buckets: all of them)."""
-    n = nodes.count() if n is None else n
-    found: list[DataFrame] = []
-    for part, t in plan(nodes, n, bits):
-        own = F.col("_fp").bitwiseAND(F.lit(_mask(part)))
-        if t:
-            flips = F.explode(F.array(*[F.lit(x) for x in _flips(part, t)]))
-            probes = nodes.select(F.col("_fp").alias("a"), flips.alias("x")).select("a", F.col("a").bitwiseAND(F.lit(_mask(part))).bitwiseXOR(F.col("x")).alias("k"))
-            found.append(probes.join(nodes.select(F.col("_fp").alias("b"), own.alias("k")), "k").filter((F.col("a") < F.col("b")) & _near(bits)).select("a", "b"))
-            continue
-        rest = [x for x in range(64) if x not in part]
-        found += _bucketed(nodes.select("_fp", own.alias("_k")), part, rest, bits)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
-
-
-def _bucketed(rows: DataFrame, fixed: list[int], free: list[int], bits: int) -> list[DataFrame]:
-    """Links inside buckets: rows of one `_k` agree on the `fixed` bits."""
-    sizes = rows.groupBy("_k").agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = stored(rows.join(sizes, "_k"), "simhash-buckets")  # buckets of one are gone
-    small = rows.filter(F.col("_n") <= HOT)
-    out = [small.select("_k", F.col("_fp").alias("a")).join(small.select("_k", F.col("_fp").alias("b")), "_k").filter((F.col("a") < F.col("b")) & _near(bits)).select("a", "b")]
-    hot = rows.filter(F.col("_n") > HOT).select("_fp")
-    if not hot.take(1):
-        return out
-    if len(free) <= MASKED:
-        masks = F.explode(F.array(*[F.lit(_mask(list(c))) for c in itertools.combinations(free, min(bits, len(free)))]))
-        blank = hot.distinct().select("_fp", masks.alias("m")).withColumn("v", F.col("_fp").bitwiseAND(F.bitwise_not("m")))
-        star = blank.groupBy("m", "v").agg(F.min("_fp").alias("a"))
-        out.append(blank.join(star, ["m", "v"]).select("a", F.col("_fp").alias("b")).filter("a < b"))
-        return out
-    width = -(-len(free) // (bits + 1))
-    for at in range(0, len(free), width):
-        part = sorted(fixed + free[at : at + width])
-        out += _bucketed(hot.distinct().select("_fp", F.col("_fp").bitwiseAND(F.lit(_mask(part))).alias("_k")), part, [x for x in free if x not in part], bits)
-    return out
+    """a, b: pairs of the distinct `_fp` of `nodes` within `bits`, enough of them to connect what such pairs connect.
+
+    One job finds the buckets of all masks; each further one those of the masks that divide what was hot."""
+    masks = [m for part, t in plan(nodes, nodes.count() if n is None else n, bits) for m in fixing(part, t)]
+    rows = nodes.select("_fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m"))
+    found = []
+    while True:
+        rows = rows.select("m", F.col("_fp").bitwiseAND(F.col("m")).alias("k"), "_fp")
+        sizes = rows.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("_fp").alias("least")).filter("n > 1")
+        met = stored(rows.join(sizes, ["m", "k"]), "simhash-buckets")  # buckets of one are gone
+        all_near = F.lit(64) - F.bit_count("m") <= bits
+        small = met.filter((F.col("n") <= HOT) & ~all_near).select("m", "k", "_fp")
+        pairs = small.withColumnRenamed("_fp", "a").join(small.withColumnRenamed("_fp", "b"), ["m", "k"]).filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
+        stars = met.filter(all_near).filter("least < _fp").select(F.col("least").alias("a"), F.col("_fp").alias("b"))
+        found.append(stored(pairs.select("a", "b").unionByName(stars).distinct(), "simhash-pairs"))
+        hot = met.filter((F.col("n") > HOT) & ~all_near)
+        again = [(r["m"], d) for r in hot.select("m").distinct().collect() for d in _divided(r["m"], bits)]  # as many as there are masks
+        if not again:
+            return reduce(DataFrame.unionByName, found).distinct()
+        further = nodes.sparkSession.createDataFrame(again, "m long, d long")
+        rows = hot.select("m", "_fp").join(F.broadcast(further), "m").select("_fp", F.col("d").alias("m")).distinct()
 
 
 def clusters(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
@@ -213,11 +203,10 @@ def report(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFra
 
 
 def dedup(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component stays: that of the smallest doc_id (then the first such row)."""
+    """One row of each component stays: that of the smallest doc_id (then the first such row). `neardup` does so by the similarity of the texts."""
     rid = packed(docs)
     c = stored(clusters(rid.select("_rid", "doc_id", "text"), bits, shingle), "simhash-clusters")
-    keep = c.groupBy("_group").agg(F.min_by("_rid", F.struct(F.col("doc_id").isNull(), "doc_id", "_rid")).alias("_rid"))
-    return unpacked(rid.join(keep.select("_rid"), "_rid", "left_semi"), docs.columns)
+    return unpacked(without(rid, others(c)), docs.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
