@@ -1,9 +1,11 @@
 """Line dedup by shared runs of lines.
 
-Two lines that stand together more than once in the corpus are a repeat, and so is a line of LONG words or more by itself. All occurrences but the
-first (smallest doc_id, then place) are removed, after a comparison of their bytes with it. A run of two lines or more that texts share is
-a run of such pairs, so it goes from end to end, wherever it stands and whatever surrounds it. Pairs of blank lines are no repeats; blank lines
-between removed ones go with them. Of two overlapping occurrences in one text (three equal lines), the first keeps its lines.
+A rolling hash over the hashes of two lines is taken at each line. Where it occurs more than once in the corpus, the two lines are a repeat, and a chunk
+is a run of lines whose rolling hashes are all repeats: its boundaries are chosen by the content, so what surrounds a passage can't shift
+them. (Chunks between boundaries set by single hashes, at some mean length, leave short passages in, as these seldom hold a whole chunk; README has figures.)
+A line of LONG words or more is a repeat by itself. All occurrences of a repeat but the first (smallest doc_id, then place) are removed, after a
+comparison of their bytes with it, each line once. Pairs of blank lines are no repeats; blank lines between removed ones go with them. Of two
+overlapping occurrences in one text (three equal lines), the first keeps its lines.
 
 Every removed line stands in an earlier occurrence of its pair, and is kept there or removed for one earlier still; so each line of the corpus is
 left somewhere.
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lattica.llm.common import packed, stored, table, unpacked, with_rid
+from lattica.llm.common import packed, stored, table, unpacked
 
 LONG = 50
 
@@ -54,13 +56,21 @@ def _keys(texts: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("key", pa.int64())])))
 
 
-@F.arrow_udf(T.ArrayType(T.BinaryType()))
-def _at(texts: pa.Array, at: pa.Array, size: pa.Array) -> pa.Array:
+@F.arrow_udf(T.ArrayType(T.StructType().add("key", T.LongType()).add("size", T.IntegerType()).add("nth", T.IntegerType()).add("line", T.IntegerType()).add("head", T.BooleanType()).add("body", T.BinaryType())))
+def _bodies(texts: pa.Array, occurrences: pa.Array) -> pa.Array:
+    """The lines of first occurrences, and each line that may go, once, by one of the repeats that it stands in."""
     rows = []
-    for t, a, n in zip(texts, at, size, strict=True):
-        own = t.as_py().split("\n")
-        rows.append([_bytes(own[i : i + k]) for i, k in zip(a.as_py(), n.as_py(), strict=True)])
-    return pa.array(rows, pa.list_(pa.binary()))
+    for t, found in zip(texts, occurrences, strict=True):
+        own, may_go, out = t.as_py().split("\n"), {}, []
+        for o in found.as_py():
+            for nth in range(0 if o["head"] else int(o["laps"]), o["size"]):
+                line = {"key": o["key"], "size": o["size"], "nth": nth, "line": o["at"] + nth, "head": o["head"], "body": _bytes(own[o["at"] + nth : o["at"] + nth + 1])}
+                if o["head"]:
+                    out.append(line)
+                else:
+                    may_go.setdefault(line["line"], line)
+        rows.append(out + list(may_go.values()))
+    return pa.array(rows, pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32()), ("nth", pa.int32()), ("line", pa.int32()), ("head", pa.bool_()), ("body", pa.binary())])))
 
 
 def removed(lines: list[str], gone: list[int]) -> list[bool]:
@@ -106,23 +116,23 @@ def repeats(rid: DataFrame) -> DataFrame:
     laps = (F.col("_rid") == F.col("_r")) & (F.col("size") == 2) & (F.col("at") == F.col("_a") + 1)
     again = found.join(shared, ["key", "size"]).select("_rid", F.struct("at", "size", "key", head.alias("head"), laps.alias("laps")).alias("_c"))
     per = again.groupBy("_rid").agg(F.collect_list("_c").alias("_c"))  # of one document
-    bodies = rid.select("_rid", "text").join(per, "_rid").select("_rid", F.explode(F.arrays_zip("_c", _at("text", F.col("_c.at"), F.col("_c.size")).alias("_b"))).alias("_z"))
-    bodies = stored(bodies.select("_rid", "_z._c.at", "_z._c.size", "_z._c.key", "_z._c.head", "_z._c.laps", F.col("_z._b").alias("body")), "line-bodies")
-    heads = bodies.filter("head").select("key", "size", F.col("body").alias("_head"))
-    same = bodies.filter("not head").join(heads, ["key", "size"]).filter("body = _head")
-    lines = F.sequence(F.col("at") + F.col("laps").cast("int"), F.col("at") + F.col("size") - 1)
-    return same.groupBy("_rid").agg(F.array_distinct(F.flatten(F.collect_list(lines))).alias("_gone"))
+    bodies = rid.select("_rid", "text").join(per, "_rid").select("_rid", F.explode(_bodies("text", "_c")).alias("_z")).select("_rid", "_z.*")
+    bodies = stored(bodies, "line-bodies")
+    heads = bodies.filter("head").select("key", "size", "nth", F.col("body").alias("_head"))
+    same = bodies.filter("not head").join(heads, ["key", "size", "nth"]).filter("body = _head")
+    return same.groupBy("_rid").agg(F.collect_list("line").alias("_gone"))  # of one document
 
 
 def _applied(rid: DataFrame) -> DataFrame:
-    """`rid` with _new: the text that is left, and counts."""
-    return rid.join(repeats(rid.select("_rid", "doc_id", "text")), "_rid", "left").withColumn("_new", _without("text", "_gone"))
+    """_rid, _row (as from packed), _new: the text that is left, and counts."""
+    gone = stored(repeats(rid.select("_rid", "doc_id", "text")), "line-gone")
+    return rid.select("_rid", "_row").join(gone, "_rid", "left").withColumn("_new", _without("_row.text", "_gone"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, lines, removed_lines, removed_chunks (runs of lines), text_crc32 (of the text that is left) for each row of `docs`."""
-    out = _applied(with_rid(docs.select("doc_id", "text")))
-    return out.select("doc_id", "_new.lines", "_new.removed_lines", "_new.removed_chunks", F.crc32(F.coalesce("_new.text", F.lit(""))).alias("text_crc32"))
+    out = _applied(packed(docs.select("doc_id", "text")))
+    return out.select("_row.doc_id", "_new.lines", "_new.removed_lines", "_new.removed_chunks", F.crc32(F.coalesce("_new.text", F.lit(""))).alias("text_crc32"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
