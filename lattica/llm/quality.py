@@ -4,8 +4,9 @@ Features are indicators of hashed byte 2-grams and 4-grams of the whole text, ca
 indicators are scaled by the log-count ratio of the two classes, and a linear hinge-loss model is fitted on them by dual
 coordinate descent; Platt's logistic turns margins into scores.
 
-The model is fitted on at most `sample` labelled rows (the smallest by a hash of their id, so the choice is stable); each sends
-one bitmap of FEATURES / 8 bytes to the driver, 32 MB in all. Every document is scored, over its whole text, in one scan without shuffle.
+The model is fitted on at most `sample` labelled rows: those of the `sample` labels whose ids have the smallest hashes, and of these rows the first by
+doc_id, label and features, so the choice depends neither on tasks nor on order. Each is one bitmap of FEATURES / 8 bytes; one task gets them, 32 MB
+in all, and the driver gets the model. Every document is scored, over its whole text, in one scan without shuffle.
 
 Defined cases: null and empty texts have no features and get the score of the bias; a null label is no label; an id labelled
 more than once counts once for each label; without labels of both classes every score is 0.5; a null doc_id is never held out; an empty table
@@ -67,15 +68,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     for f, s in zip(rows, y, strict=True):
         counts[s][f] += 1
     ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
-    scaled = [ratio[f] / np.sqrt(max(len(f), 1)) for f in rows]
-    norms = np.array([float(v @ v) + 1.0 for v in scaled])
+    scaled = lambda f: ratio[f] / np.sqrt(max(len(f), 1))
+    norms = np.array([float((scaled(f) ** 2).sum()) + 1.0 for f in rows])
     # Dual coordinate descent for the hinge loss; violations of the rarer class cost as much in all.
     cost = COST * np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum()))
     w, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
         for i in rng.permutation(len(y)):
-            f, v = rows[i], scaled[i]
+            f, v = rows[i], scaled(rows[i])
             g = y[i] * (float(w[f] @ v) + bias) - 1
             new = min(max(alpha[i] - g / norms[i], 0.0), cost[i])
             if new != alpha[i]:
@@ -83,7 +84,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
                 w[f] += step * v
                 bias += step
                 alpha[i] = new
-    m = np.array([float(w[f] @ v) + bias for f, v in zip(rows, scaled, strict=True)])
+    m = np.array([float(w[f] @ scaled(f)) + bias for f in rows])
     return Model(w * ratio, bias, *_platt(m, y))
 
 
@@ -123,10 +124,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("_label").cast("int").alias("_label"), "text")  # at most `sample` rows are broadcast
     kind = dict(docs.dtypes)["doc_id"]
-    got = rows.mapInArrow(bitmap, f"doc_id {kind}, label int, bitmap binary").limit(sample).toArrow()
-    order = sorted(range(len(got)), key=lambda i: (got["doc_id"][i].as_py(), got["label"][i].as_py(), got["bitmap"][i].as_py()))
-    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(got["bitmap"][i].as_py(), dtype=np.uint8))) for i in order]
-    return fit(sets, np.array([got["label"][i].as_py() for i in order]))
+    got = rows.mapInArrow(bitmap, f"doc_id {kind}, label int, bitmap binary").orderBy("doc_id", "label", "bitmap").limit(sample)
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, marks = [], []
+        for b in batches:
+            sets += [np.flatnonzero(np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8))).astype(np.int32) for x in b.column("bitmap")]
+            marks += b.column("label").to_pylist()
+        m = fit(sets, np.array(marks))
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.offset))], names=["weights", "bias", "slope", "offset"])
+
+    m = got.repartition(1).sortWithinPartitions("doc_id", "label", "bitmap").mapInArrow(fitted, "weights binary, bias double, slope double, offset double").first()  # `sample` rows at most
+    if m is None:  # no rows, no task
+        return fit([], np.array([]))
+    return Model(np.frombuffer(m["weights"]), m["bias"], m["slope"], m["offset"])
 
 
 def scored(docs: DataFrame, model: Model) -> Column:
