@@ -7,16 +7,17 @@ all rows' scores. The best rows are picked from the most significant slice downw
 that don't while there are at least k. Only the high bits of each attribute are indexed; what the low ones can add is
 bounded by the query, rows within that bound of the k-th best stay candidates, and their exact integer scores decide, ties by smaller id.
 
-Queries and rows meet block by block (a grid of cells), each cell one task's work; no block grows with the data.
+A block's index is built once and written. Queries and blocks meet in a grid of cells, each cell one task's work; no block grows with the data.
 
-Defined cases: a vector that is null, or holds null or non-finite components, takes no part; null ids take no part; vectors of other lengths than
-the most common one raise; rows that repeat a vec_id are all scored, and none of them meets a query of that id; an empty table gives an
+Defined cases: a vector that is null or empty, or holds null or non-finite components, takes no part, nor does one with components so large that scores could leave
+a long (|256 c| of sqrt(2^62 / length) or more); a query meets rows of its own length only; null ids take no part; rows that repeat a
+vec_id are all scored, none of them meets a query of that id, and each of them that is a query has a list of its own; an empty table gives an
 empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,8 @@ class BitSliced:
     """Rows of one block, n x d integers."""
 
     def __init__(self, x: np.ndarray, indexed: int = INDEXED) -> None:
-        self.x, self.n = x.astype(np.float64), len(x)  # for BLAS; exact, as scores stay below 2 ** 53
+        self.x, self.n = x, len(x)
+        self.most = int(np.abs(x).max(initial=0))
         self.low = x.min(axis=0)
         span = int((x - self.low).max()) if self.n else 0
         self.drop = max(0, span.bit_length() - indexed)
@@ -137,7 +139,11 @@ def best(ids: np.ndarray, q: np.ndarray, qid: int, index: BitSliced, k: int) ->
     own = int((ids == qid).sum())
     rows = index.candidates(q, k + own)
     rows = rows[ids[rows] != qid]
-    score = (index.x[rows] @ q.astype(np.float64)).astype(np.int64)
+    near = index.x[rows]
+    if index.most * int(np.abs(q).sum()) < 1 << 53:  # BLAS, and exact
+        score = (near.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+    else:
+        score = near @ q
     if len(rows) > k:
         kth = np.partition(score, len(score) - k)[len(score) - k]
         rows, score = rows[score >= kth], score[score >= kth]
@@ -146,36 +152,45 @@ def best(ids: np.ndarray, q: np.ndarray, qid: int, index: BitSliced, k: int) ->
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """vec_id, _x (array of int): floor(scale * component as double), of complete vectors."""
+    """vec_id, _x (array of long): floor(scale * component as double), of complete vectors."""
     good = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good)
-    return v.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("int")).alias("_x"))
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & good)
+    v = v.select("vec_id", F.transform("embedding", lambda c: F.floor(c.cast("double") * scale).cast("double")).alias("_x"))
+    fits = F.forall("_x", lambda c: F.abs(c) < F.sqrt(F.lit(2.0**62) / F.size("_x")))
+    return v.filter(fits).select("vec_id", F.col("_x").cast("array<long>").alias("_x"))
 
 
 def search(vectors: DataFrame, is_query: F.Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score for each row of `vectors` for which `is_query` holds."""
-    v = stored(quantised(vectors, scale), "topk-vectors")
-    sizes = v.agg(F.count("*").alias("n"), F.min(F.size("_x")).alias("lo"), F.max(F.size("_x")).alias("hi"), F.sum(is_query.cast("long")).alias("q")).first()
-    if sizes["n"] and sizes["lo"] != sizes["hi"]:
-        raise ValueError(f"vectors of {sizes['lo']} to {sizes['hi']} components")
+    v = stored(quantised(vectors, scale).withColumn("_dim", F.size("_x")), "topk-vectors")
+    sizes = v.agg(F.count("*").alias("n"), F.sum(is_query.cast("long")).alias("q")).first()
     blocks, chunks = max(1, -(-sizes["n"] // ROWS)), max(1, -(-(sizes["q"] or 0) // QUERIES))
     grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    of = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    rows = v.select("vec_id", "_x", of(blocks, 1).alias("_block"), grid(chunks).alias("_chunk"))
-    asks = v.filter(is_query).select("vec_id", "_x", of(chunks, 2).alias("_chunk"), grid(blocks).alias("_block"))
-
-    def cell(key: tuple, r: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        if not len(r) or not len(a):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-        x, ids = np.stack(r["_x"].to_numpy()).astype(np.int64), r["vec_id"].to_numpy()
-        index, out = BitSliced(x), []
-        for q, qid in zip(np.stack(a["_x"].to_numpy()).astype(np.int64), a["vec_id"].tolist(), strict=True):
-            got, score = best(ids, q, qid, index, k)
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": got, "score": score}))
+    of = lambda n, c, salt: F.pmod(F.xxhash64(c, F.lit(salt)), F.lit(n)).cast("int")
+
+    def build(r: pd.DataFrame) -> pd.DataFrame:
+        index = BitSliced(np.stack(r["_x"].to_numpy()).astype(np.int64))
+        return pd.DataFrame({"_dim": [r["_dim"].iloc[0]], "_block": [r["_block"].iloc[0]], "_index": [pickle.dumps((r["vec_id"].to_numpy(), index.__dict__))]})
+
+    numbered = v.withColumn("_row", F.monotonically_increasing_id())
+    rows = numbered.select("vec_id", "_x", "_dim", of(blocks, "_row", 1).alias("_block"))
+    index = stored(rows.groupBy("_dim", "_block").applyInPandas(build, "_dim int, _block int, _index binary"), "topk-index")
+    asks = stored(numbered.filter(is_query), "topk-queries").select("_row", "vec_id", "_x", "_dim", of(chunks, "_row", 2).alias("_chunk"), grid(blocks).alias("_block"))
+
+    def cell(key: tuple, i: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"_row": pd.Series(dtype="int64"), "query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})]
+        if len(i) and len(a):
+            ids, state = pickle.loads(i["_index"].iloc[0])
+            own = BitSliced.__new__(BitSliced)
+            own.__dict__ = state
+            for row, q, qid in zip(a["_row"], np.stack(a["_x"].to_numpy()).astype(np.int64), a["vec_id"].tolist(), strict=True):
+                got, score = best(ids, q, qid, own, k)
+                out.append(pd.DataFrame({"_row": row, "query_id": qid, "vec_id": got, "score": score}))
         return pd.concat(out)
 
-    near = rows.groupBy("_block", "_chunk").cogroup(asks.groupBy("_block", "_chunk")).applyInPandas(cell, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cells = index.withColumn("_chunk", grid(chunks)).groupBy("_dim", "_block", "_chunk")
+    near = cells.cogroup(asks.groupBy("_dim", "_block", "_chunk")).applyInPandas(cell, "_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("_row").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
