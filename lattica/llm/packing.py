@@ -4,7 +4,9 @@ Documents become tokens; longer ones than a sequence are cut. Only the lengths m
 of them, so the packing is computed on the driver over (length, number of pieces): large lengths are dealt into
 GROUPS groups of equal cardinality and rounded up to their group's largest, a linear program over configurations of these few sizes
 is solved by column generation, and its whole parts become sequences whose places take actual lengths, but for each configuration's smallest
-place. What is left (that place's items, leftovers and small lengths) is put best-fit, longest first, into what room remains. Runs of equal sequences are kept as counts, so the
+place. What is left (that place's items, leftovers and small lengths) is put best-fit, longest first, into what room remains. That is done
+for each of the THRESHOLDS from which a length counts as large, and the plan of the fewest sequences is taken. At the last one, half a sequence, no
+configuration holds two large lengths, so a plan is never longer than best fit alone would give. Runs of equal sequences are kept as counts, so the
 work doesn't grow with the number of documents. The pieces take their places by their gapless number among those of their length.
 
 Defined cases: a null or empty text is one piece, the end token; rows that repeat a doc_id are packed each by itself; an empty
@@ -14,6 +16,8 @@ table gives an empty result; other columns are ignored (`packed_texts` keeps non
 from __future__ import annotations
 
 import bisect
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,10 +32,12 @@ from lattica.llm.ranking import ranked
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Groups of large lengths, and the least length that counts as large.
-GROUPS, LARGE = 32, 256
-#: Distinct chunks of text whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Groups of large lengths, and the least lengths that count as large, as shares of a sequence.
+GROUPS, THRESHOLDS = 128, (0.125, 0.25, 0.5)
+#: Bytes that a Python worker remembers of chunks of text and their ids, and what an entry takes besides them.
+REMEMBERED, ENTRY = 250 << 20, 200
+#: Pieces of one length that a task numbers.
+NUMBERED = 100_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -54,6 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(tokenizer))
         self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         self.characters = _byte_characters()
         self.bytes_of = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
 
@@ -95,10 +102,11 @@ class Encoder:
             return self._plain([text])[0]
         chunks = raw.lower().split()
         if new := set(chunks).difference(self.known):
-            if len(self.known) > REMEMBERED:
+            if self.held > REMEMBERED:
                 self.known.clear()
-                new = set(chunks)
+                self.held, new = 0, set(chunks)
             self._learn(new)
+            self.held += sum(len(c) + len(self.known[c]) + ENTRY for c in new)
         return b"".join(map(self.known.__getitem__, chunks))
 
 
@@ -106,9 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     """_rid, doc_id, piece, start, length, ids_crc32 (and the ids) of rows with _rid, doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tokenizers
-
-        kept = vars(tokenizers).setdefault("_lattica_encoders", {})  # for the worker's life, beyond this task
+        kept = vars(sys.modules.setdefault("_lattica_worker", types.ModuleType("_lattica_worker")))  # for the worker's life, beyond this task
         if tokenizer not in kept:
             kept[tokenizer] = Encoder(tokenizer)
         encode = kept[tokenizer]
@@ -141,27 +147,27 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
 
 def _knapsack(sizes: list[int], values: np.ndarray, capacity: int) -> tuple[float, list[int]]:
     """The most value that fits, any number of each, and how many of each."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.array(sizes)
-    for c in range(min(sizes), capacity + 1):
-        fits = order <= c
-        gain = np.where(fits, best[np.maximum(c - order, 0)] + values, -1.0)
-        g = int(gain.argmax())
-        if gain[g] > best[c - 1]:
-            best[c], took[c] = gain[g], g
-        else:
-            best[c] = best[c - 1]
+    room = np.arange(capacity + 1)[:, None] - np.array(sizes)[None, :]
+    fits, room = room >= 0, np.maximum(room, 0)
+    best, took = np.zeros(capacity + 1), []
+    for _ in range(capacity // min(sizes)):  # one more item each time
+        gain = np.where(fits, best[room] + values, -1.0)
+        g = gain.argmax(axis=1)
+        new = gain[np.arange(capacity + 1), g]
+        better = new > best + 1e-12
+        if not better.any():
+            break
+        took.append(np.where(better, g, -1))
+        best = np.where(better, new, best)
     counts, c = [0] * len(sizes), capacity
-    while c > 0:
-        if took[c] < 0 or best[c] == best[c - 1]:
-            c -= 1
-        else:
-            counts[took[c]] += 1
-            c -= sizes[took[c]]
+    for choice in reversed(took):
+        if choice[c] >= 0:
+            counts[choice[c]] += 1
+            c -= sizes[choice[c]]
     return float(best[capacity]), counts
 
 
-def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY, most: int = 600) -> list[tuple[list[int], float]]:
+def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY, most: int = 400) -> list[tuple[list[int], float]]:
     """(how many of each size, how often) of the linear program's optimum, by column generation."""
     k = len(sizes)
     columns = [[0] * g + [capacity // s] + [0] * (k - g - 1) for g, s in enumerate(sizes)]
@@ -182,8 +188,13 @@ def configurations(sizes: list[int], counts: list[int], capacity: int = CAPACITY
     return [(columns[g], float(x[g])) for g in range(k)]
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: int = LARGE) -> list[tuple[tuple[int, ...], int]]:
+def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a sequence, number of such sequences), for the number of pieces of each length."""
+    return min((grouped(lengths, capacity, groups, int(capacity * t) + 1) for t in THRESHOLDS), key=lambda p: sum(n for _, n in p))
+
+
+def grouped(lengths: dict[int, int], capacity: int, groups: int, large: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan by linear grouping of lengths from `large` on."""
     done: list[tuple[tuple[int, ...], int]] = []
     if lengths.get(capacity):
         done.append(((capacity,), lengths[capacity]))
@@ -305,7 +316,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY,
             seq = first[k] + (key - keys[k])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(seq), pa.array(offsets[k])], names=[*kept, "sequence_id", "offset"])
 
-    numbered = ranked(cut, ["length"], F.struct("_rid", "piece"), [F.col("_rid"), F.col("piece")], "_rank", slices=64).drop("_rid")
+    numbered = ranked(cut, ["length"], F.struct("_rid", "piece"), [F.col("_rid"), F.col("piece")], "_rank", slices=max(64, -(-max(lengths.values(), default=0) // NUMBERED))).drop("_rid")
     kept = [c for c in numbered.columns if c != "_rank"]
     kinds = dict(numbered.dtypes)
     out = numbered.mapInArrow(place, ", ".join(f"{c} {kinds[c]}" for c in kept) + ", sequence_id long, offset long")
