@@ -4,7 +4,8 @@ A window is `n` consecutive words of an item; an item of fewer words, but not no
 word positions get one 64-bit key for each window length that occurs; a broadcast hash join finds the keys that some
 item has, and every match is verified word by word. Only DataFrame functions run here.
 
-The windows are broadcast in blocks of at most `block` rows, so what is broadcast doesn't grow with the benchmark;
+A window that several items share is one row; which items hold it stands in a table of its own, joined after the matches of a document are brought
+together. The windows are broadcast in blocks of at most `block` rows or so, so what is broadcast doesn't grow with the benchmark;
 a larger benchmark means more blocks, each probed by its own scan.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words has no window; rows that repeat
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import BETWEEN, UPPER, packed, table, unpacked, with_rid, word_array
+from lattica.llm.common import BETWEEN, UPPER, packed, stored, table, unpacked, with_rid, word_array
 
 WINDOW = 10
 #: Rows of windows in one broadcast, at some 200 bytes each.
@@ -43,19 +44,30 @@ def _by_len(values: dict[int, Column]) -> Column:
     return reduce(lambda case, kv: case.when(F.col("_len") == kv[0], kv[1]), values.items(), F.when(F.lit(False), F.lit(None)))
 
 
-def windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """_key, _len, _words, _item: each window of each item once."""
+def windows(benchmark: DataFrame, n: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """_key, _len, _words, _win: each window once; and _win, _item: the items that hold it."""
     items = benchmark.select(F.col("item_id").alias("_item"), word_array(F.col("text")).alias("_w")).filter(F.size("_w") > 0)
     items = items.withColumn("_len", F.least(F.lit(n), F.size("_w")))
-    runs = items.select("_item", "_len", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_len") + 1), lambda i: F.slice(F.col("_w"), i, F.col("_len")))).alias("_words")).distinct()
+    runs = items.select("_item", "_len", F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_len") + 1), lambda i: F.slice(F.col("_w"), i, F.col("_len")))).alias("_words"))
+    runs = stored(runs.distinct(), "benchmark-runs")
     key = _by_len({k: _key(F.col("_words"), 0, k) for k in range(1, n + 1)})
-    return runs.select(key.alias("_key"), "_len", "_words", "_item")
+    wins = stored(runs.select("_len", "_words").distinct().select(key.alias("_key"), "_len", "_words", F.monotonically_increasing_id().alias("_win")), "benchmark-windows")
+    return wins, runs.join(wins.drop("_key"), ["_len", "_words"]).select("_win", "_item")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row for each row of `docs` (with `_rid`, doc_id and text): _rid, doc_id, n_words, _runs (starts and lengths
     of hit windows, in words from 0), _items (the item_ids)."""
-    wins = windows(benchmark, n)
+    wins, holders = windows(benchmark, n)
+    rows = stored(matches(docs, wins, n, block), "benchmark-hits")
+    met = rows.select("_rid", F.explode("_wins").alias("_win")).join(stored(holders, "benchmark-items"), "_win")
+    items = met.groupBy("_rid").agg(F.collect_set("_item").alias("_items"))  # of one document: what is to be returned
+    none = F.array().cast(f"array<{dict(holders.dtypes)['_item']}>")
+    return rows.drop("_wins").join(items, "_rid", "left").withColumn("_items", F.coalesce("_items", none))
+
+
+def matches(docs: DataFrame, wins: DataFrame, n: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """_rid, doc_id, n_words, _runs, _wins (the windows found) for each row of `docs`."""
     sizes = {r["_len"]: r["n"] for r in wins.groupBy("_len").agg(F.count("*").alias("n")).collect()}  # n rows at most
     lens = sorted(sizes)
     blocks = max(1, -(-sum(sizes.values()) // block))
@@ -69,18 +81,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, block: int = BL
 
     found = []
     for b in range(blocks):
-        part = wins if blocks == 1 else wins.filter(F.pmod("_key", F.lit(blocks)) == b)
+        part = wins if blocks == 1 else wins.filter(F.pmod(F.xxhash64("_win"), F.lit(blocks)) == b)
         keys = F.concat(*[_keys(F.col("_w"), k) for k in lens], F.array(F.lit(0).cast("long")))
         # The last key of a document, 0, stands for the document itself and meets the row of length 0.
-        own = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_key"), F.lit(0).alias("_len"), F.array().cast("array<string>").alias("_words"), F.lit(None).cast(dict(wins.dtypes)["_item"]).alias("_item"))
+        own = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("_key"), F.lit(0).alias("_len"), F.array().cast("array<string>").alias("_words"), F.lit(None).cast("long").alias("_win"))
         # Apart from the generator, so that the explosion and the probe compile into one loop; outer, as the optimiser
         # would else infer a filter, push it below and split the text anew for each word. There is always a key.
         probe = base.withColumn("_keys", keys).select("_rid", "doc_id", "_w", F.posexplode_outer("_keys").alias("_pos", "_key"))
         met = probe.join(F.broadcast(part.unionByName(own)), "_key")
         real = F.when(F.col("_len") == 0, F.col("_pos") == total).otherwise((start >= 0) & (start < n_words) & (F.slice("_w", F.greatest(start, F.lit(0)) + 1, F.col("_len")) == F.col("_words")))
-        found.append(met.filter(real).select("_rid", "doc_id", n_words.cast("long").alias("_n"), F.when(F.col("_len") > 0, F.struct(start.alias("start"), F.col("_len").alias("len"))).alias("_run"), "_item"))
+        found.append(met.filter(real).select("_rid", "doc_id", n_words.cast("long").alias("_n"), F.when(F.col("_len") > 0, F.struct(start.alias("start"), F.col("_len").alias("len"))).alias("_run"), "_win"))
     rows = reduce(DataFrame.unionByName, found)
-    return rows.groupBy("_rid").agg(F.first("doc_id").alias("doc_id"), F.max("_n").alias("n_words"), F.array_sort(F.collect_set("_run")).alias("_runs"), F.collect_set("_item").alias("_items"))
+    return rows.groupBy("_rid").agg(F.first("doc_id").alias("doc_id"), F.max("_n").alias("n_words"), F.array_sort(F.collect_set("_run")).alias("_runs"), F.collect_set("_win").alias("_wins"))
 
 
 def _covered(runs: Column) -> Column:
@@ -107,8 +119,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, mode: str = "m
     if mode not in ("documents", "spans", "mixed"):
         raise ValueError(f"no such mode: {mode}")
     rid = packed(docs)
-    h = hits(rid.select("_rid", "doc_id", "text"), benchmark, n).filter(F.size("_runs") > 0).select("_rid", "_runs")
-    out = rid.join(h, "_rid", "left")
+    h = matches(rid.select("_rid", "doc_id", "text"), windows(benchmark, n)[0], n).filter(F.size("_runs") > 0).select("_rid", "_runs")
+    # Written first, so that few rows are broadcast and the texts stay where they are.
+    out = rid.select("_rid", "_row").join(stored(h, "benchmark-runs-of"), "_rid", "left").withColumn("text", F.col("_row.text"))
     if mode == "documents":
         return unpacked(out.filter(F.col("_runs").isNull()), docs.columns)
     if mode == "mixed":
