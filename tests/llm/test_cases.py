@@ -51,6 +51,14 @@ def test_decontaminate_blocks_change_nothing(docs, bench):
     assert whole == parts
 
 
+def test_decontaminate_window_of_many_items(spark, docs):
+    many = spark.createDataFrame([(k, "ten words make one window of this item here now" + " and more" * (k % 2)) for k in range(50)], "item_id long, text string")
+    wins, holders = decontaminate.windows(many)
+    assert wins.count() == 3 and holders.count() == 100
+    got = decontaminate.hits(decontaminate.with_rid(docs.select("doc_id", "text")), many, block=1).filter(F.size("_items") > 0)
+    assert [len(r["_items"]) for r in got.collect()] == [50, 50]
+
+
 def test_decontaminate_clean(docs, none, bench):
     got = decontaminate.clean(docs, bench)
     assert got.columns == docs.columns and got.schema == docs.schema
@@ -154,18 +162,36 @@ def test_shard(docs, none):
 
 def test_shard_runs_are_the_heap():
     random.seed(2)
-    for _ in range(30):
-        sizes = [(s, random.randrange(1, 60)) for s in random.sample(range(1, 500), 12)]
-        loads, want = [0] * 8, [0] * 8
-        for size, (starts, lengths, turns) in sharding.lpt_runs(sizes).items():
-            for n, t in zip(lengths, turns, strict=True):
-                for k in range(n):
-                    loads[t[k % len(t)]] += size
-            assert sum(lengths) == dict(sizes)[size] and starts == [sum(lengths[:k]) for k in range(len(lengths))]
-        for size, n in sorted(sizes, reverse=True):
-            for _ in range(n):
-                want[want.index(min(want))] += size
-        assert sorted(loads) == sorted(want)
+    for k in range(60):
+        sizes = [(s, random.randrange(1, 60)) for s in sorted(random.sample(range(1, 500), 12), reverse=True)]
+        if k % 3 == 0:
+            sizes = [(40_000 * (1 + k % 2), 1 + k % 4), *sizes]  # groups that outweigh a shard
+        runs, loads = list(sharding.lpt_runs(sizes)), [0] * 8
+        for size, n in sizes:
+            own = [r for r in runs if r[0] == size]
+            assert len(own) <= 8
+            for rank in range(n):
+                want = loads.index(min(loads))
+                loads[want] += size
+                assert [turn[(rank - a) % len(turn)] for _, a, z, turn in own if a <= rank < z] == [want]
+
+
+def test_shard_places_are_the_heap(spark):
+    rng = random.Random(9)
+    texts = ["x" * rng.randrange(1, 40) + rng.choice("abc") for _ in range(400)] + ["hot"] * 300 + [None, "", "é", "é"]
+    rows = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    shards_of: dict[str, set] = {}
+    for r in rows:
+        shards_of.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
+        assert r["size"] == len((texts[r["doc_id"]] or "").encode()) + 1
+    assert all(len(s) == 1 for s in shards_of.values()) and len(shards_of) == len({t or "" for t in texts})
+    want, groups = [0] * 8, {}
+    for t in texts:
+        groups[t or ""] = groups.get(t or "", 0) + len((t or "").encode()) + 1
+    for size in sorted(groups.values(), reverse=True):
+        want[want.index(min(want))] += size
+    got = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert got == want
 
 
 def test_pack(docs, none):
