@@ -45,32 +45,34 @@ def repeatable(text: str) -> list[tuple[int, int, bytes]]:
     return out + [(i, 2, x + b"\n" + y) for i, ((x, _, some), (y, _, more)) in enumerate(zip(own, own[1:], strict=False)) if some or more]
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("at", T.IntegerType()).add("size", T.IntegerType()).add("key", T.LongType())))
+@F.arrow_udf(T.ArrayType(T.StructType().add("at", T.IntegerType()).add("key", T.LongType())))
 def _keys(texts: pa.Array) -> pa.Array:
+    """The hash of each repeatable, by its size, and its place: twice the line, and one more for two lines."""
     import xxhash
 
     rows = []
     for t in texts:
         found = repeatable(t.as_py()) if t.is_valid else ()
-        rows.append([{"at": i, "size": n, "key": xxhash.xxh64_intdigest(x) - (1 << 63)} for i, n, x in found])
-    return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("size", pa.int32()), ("key", pa.int64())])))
+        rows.append([{"at": 2 * i + n - 1, "key": xxhash.xxh64_intdigest(x, n) - (1 << 63)} for i, n, x in found])
+    return pa.array(rows, pa.list_(pa.struct([("at", pa.int32()), ("key", pa.int64())])))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("key", T.LongType()).add("size", T.IntegerType()).add("nth", T.IntegerType()).add("line", T.IntegerType()).add("head", T.BooleanType()).add("body", T.BinaryType())))
+@F.arrow_udf(T.ArrayType(T.StructType().add("key", T.LongType()).add("nth", T.IntegerType()).add("line", T.IntegerType()).add("head", T.BooleanType()).add("body", T.BinaryType())))
 def _bodies(texts: pa.Array, occurrences: pa.Array) -> pa.Array:
     """The lines of first occurrences, and each line that may go, once, by one of the repeats that it stands in."""
     rows = []
     for t, found in zip(texts, occurrences, strict=True):
         own, may_go, out = t.as_py().split("\n"), {}, []
         for o in found.as_py():
-            for nth in range(0 if o["head"] else int(o["laps"]), o["size"]):
-                line = {"key": o["key"], "size": o["size"], "nth": nth, "line": o["at"] + nth, "head": o["head"], "body": _bytes(own[o["at"] + nth : o["at"] + nth + 1])}
+            first, size = o["at"] // 2, 1 + o["at"] % 2
+            for nth in range(0 if o["head"] else int(o["laps"]), size):
+                line = {"key": o["key"], "nth": nth, "line": first + nth, "head": o["head"], "body": _bytes(own[first + nth : first + nth + 1])}
                 if o["head"]:
                     out.append(line)
                 else:
                     may_go.setdefault(line["line"], line)
         rows.append(out + list(may_go.values()))
-    return pa.array(rows, pa.list_(pa.struct([("key", pa.int64()), ("size", pa.int32()), ("nth", pa.int32()), ("line", pa.int32()), ("head", pa.bool_()), ("body", pa.binary())])))
+    return pa.array(rows, pa.list_(pa.struct([("key", pa.int64()), ("nth", pa.int32()), ("line", pa.int32()), ("head", pa.bool_()), ("body", pa.binary())])))
 
 
 def removed(lines: list[str], gone: list[int]) -> list[bool]:
@@ -107,19 +109,19 @@ def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
 
 def repeats(rid: DataFrame) -> DataFrame:
     """_rid, _gone (numbers of the lines to remove) for rows (_rid, doc_id, text) that lose any."""
-    found = rid.select("_rid", "doc_id", F.explode(_keys("text")).alias("_k")).select("_rid", "doc_id", "_k.at", "_k.size", "_k.key")
+    found = rid.select("_rid", "doc_id", F.explode(_keys("text")).alias("_k")).select("_rid", "doc_id", "_k.at", "_k.key")
     found = stored(found, "line-pairs")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), "_rid", "at")).alias("_first")
-    shared = found.groupBy("key", "size").agg(F.count("*").alias("_c"), first).filter("_c > 1").select("key", "size", F.col("_first._rid").alias("_r"), F.col("_first.at").alias("_a"))
+    shared = found.groupBy("key").agg(F.count("*").alias("_c"), first).filter("_c > 1").select("key", F.col("_first._rid").alias("_r"), F.col("_first.at").alias("_a"))
     head = (F.col("_rid") == F.col("_r")) & (F.col("at") == F.col("_a"))
     # An occurrence that begins on the second line of the first one leaves that line.
-    laps = (F.col("_rid") == F.col("_r")) & (F.col("size") == 2) & (F.col("at") == F.col("_a") + 1)
-    again = found.join(shared, ["key", "size"]).select("_rid", F.struct("at", "size", "key", head.alias("head"), laps.alias("laps")).alias("_c"))
+    laps = (F.col("_rid") == F.col("_r")) & (F.col("at") % 2 == 1) & (F.col("at") == F.col("_a") + 2)
+    again = found.select("_rid", "at", "key").join(shared, "key").select("_rid", F.struct("at", "key", head.alias("head"), laps.alias("laps")).alias("_c"))
     per = again.groupBy("_rid").agg(F.collect_list("_c").alias("_c"))  # of one document
     bodies = rid.select("_rid", "text").join(per, "_rid").select("_rid", F.explode(_bodies("text", "_c")).alias("_z")).select("_rid", "_z.*")
     bodies = stored(bodies, "line-bodies")
-    heads = bodies.filter("head").select("key", "size", "nth", F.col("body").alias("_head"))
-    same = bodies.filter("not head").join(heads, ["key", "size", "nth"]).filter("body = _head")
+    heads = bodies.filter("head").select("key", "nth", F.col("body").alias("_head"))
+    same = bodies.filter("not head").join(heads, ["key", "nth"]).filter("body = _head")
     return same.groupBy("_rid").agg(F.collect_list("line").alias("_gone"))  # of one document
 
 
