@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.storage import remove_stored, shared_dir, stored
+from lattica.storage import released, remove_stored, shared_dir, stored
 
-__all__ = ["BETWEEN", "UPPER", "ascii_lower", "hex_digits", "others", "packed", "remove_stored", "shared_dir", "stored", "table", "unpacked", "with_rid", "without", "word_array"]
+__all__ = ["BETWEEN", "UPPER", "ascii_lower", "hex_digits", "others", "packed", "released", "remove_stored", "shared_dir", "stored", "table", "unpacked", "with_rid", "without", "word_array"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What stands between words of digits, ASCII letters and everything beyond ASCII.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stored
+from lattica.llm.common import released, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # Done when every node hangs on a root: no end of an edge has an edge of its own.
         left = new.select(F.col("b").alias("a")).join(new.select("a"), "a", "left_semi").limit(1).count()
         several = new.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+        released(e)
         e = new
         if not left and not several:
             break

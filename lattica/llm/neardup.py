@@ -7,9 +7,11 @@ of each word are grouped into parts, correlated bits together; each part has a t
 estimated candidates); dynamic programming finds the cheapest thresholds by which a pair at LEAST is missed with probability MISS at most, a closer one
 less. Nodes that agree on a probed part are candidates; the first CHECKED words of their fingerprints are compared, then the words of their texts.
 
-Buckets of up to HOT nodes are compared pair by pair. In a larger one all nodes are compared to two of them first; then those outside
-the bucket's largest component to all that aren't in theirs, the bucket dealt into SALTS tasks. So a large group of near copies takes linear work and
-no candidate is left out; a large bucket of texts that are alike, but not LEAST, takes the comparison of all its fingerprints' words.
+Buckets of up to HOT nodes are compared pair by pair, a larger one first by stars: in each of ROUNDS rounds all its nodes outside its largest component
+are compared to CENTRES of that component's, others in each bucket. What comes after, all pairs of small buckets and those
+outside a large bucket's largest component with all of it (dealt into SALTS tasks), passes over nodes that are in one component already. So a large group of
+near copies takes linear work though most of its pairs may be below LEAST, and no candidate that could join two components is left out; a large bucket of
+texts that are alike, but never LEAST, takes the comparison of all its fingerprints' words.
 
 Defined cases: words are as in simhash; a text of fewer words than a shingle is one shingle; a null or empty text has no shingle, and such
 rows are copies of one another; rows that repeat a doc_id are judged each by itself; an empty table gives an empty result.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,9 @@ MISS = 0.002
 #: Words of the fingerprint that are compared before the texts, and how many standard deviations beyond the mean of a pair at LEAST still pass.
 CHECKED, DEVIATIONS = 2, 3.5
 #: Evenly spread nodes of a bucket; a probe costs as much as so many comparisons.
-OCCUPANCY, PROBE = 32, 50
-#: Nodes that a bucket compares pair by pair; tasks that a larger one is dealt into.
-HOT, SALTS = 256, 16
+OCCUPANCY, PROBE = 16, 50
+#: Nodes that a bucket compares pair by pair; tasks that a larger one is dealt into; rounds of stars in it, and centres of each.
+HOT, SALTS, ROUNDS, CENTRES = 64, 16, 3, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,39 +222,51 @@ def clusters(docs: DataFrame) -> DataFrame:
     probes = plan(_grams(nodes, n_words), nodes.count(), per)
     checked = [f"_w{k}" for k in range(CHECKED)]
     keys = F.array(*[F.xxhash64(F.lit(k), F.get("_w", F.lit(w)).bitwiseAND(F.lit(m))) for k, (w, m) in enumerate(probes)])
-    keyed = nodes.select("_n", *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
-
     share = differing(LEAST)
     most = int(64 * CHECKED * share + DEVIATIONS * math.sqrt(64 * CHECKED * share * (1 - share)))
 
-    def near(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
-        """a, b: nodes of one bucket whose checked words are near."""
-        left = x.select(*on, F.col("_n").alias("a"), *[F.col(c).alias(f"{c}a") for c in checked], *[F.col("_of").alias("_ofa")] * ("_of" in x.columns))
-        right = y.select(*on, F.col("_n").alias("b"), *[F.col(c).alias(f"{c}b") for c in checked], *[F.col("_of").alias("_ofb")] * ("_of" in y.columns), *[c for c in ("_most",) if c in y.columns])
+    def near(x: DataFrame, y: DataFrame, on: list[str], also: str) -> DataFrame:
+        """a, b: nodes (_n, checked words, component _of) of one bucket whose checked words are near, but for those in one component."""
+        left, right = (t.select(*on, *[F.col(c).alias(f"{c}{end}") for c in (*checked, "_of")], F.col("_n").alias(end), *[c for c in t.columns if c == "_most" and end == "b"]) for t, end in ((x, "a"), (y, "b")))
         apart = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in checked)
-        return left.join(right, on).filter(apart <= most)
+        return left.join(right, on).filter((apart <= most) & (F.col("_ofa") != F.col("_ofb")) & F.expr(also)).select("a", "b")
+
+    def placed(of: DataFrame | None) -> DataFrame:
+        """The nodes by bucket, with their components."""
+        own = nodes if of is None else nodes.join(of.select(F.col("node").alias("_n"), "component"), "_n", "left")
+        component = F.col("_n") if of is None else F.coalesce("component", "_n")
+        return own.select("_n", component.alias("_of"), *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
 
-    big = stored(keyed.groupBy("_k").agg(F.count("*").alias("_c"), *[e(F.struct("_n", *checked)).alias(a) for e, a in ((F.min, "_x"), (F.max, "_y"))]).filter(F.col("_c") > HOT), "near-big")
+    keyed, of, found = placed(None), None, []
+    big = stored(keyed.groupBy("_k").agg(F.count("*").alias("_c")).filter(F.col("_c") > HOT).select("_k"), "near-big")
     any_big = bool(big.take(1))
-    small = keyed.join(big.select("_k"), "_k", "left_anti") if any_big else keyed
-    found = _verified(near(small, small, ["_k"]).filter("a < b").select("a", "b"), docs)
-    if any_big:
-        hot = stored(keyed.join(big.select("_k"), "_k", "left_semi"), "near-hot")
-        stars = None
-        for x in ("_x", "_y"):
-            s = near(big.select("_k", f"{x}.*"), hot, ["_k"]).filter("a <> b").select("a", "b")
-            stars = s if stars is None else stars.unionByName(s)
-        found = found.unionByName(_verified(stars, docs, SALTS))
-    of = stored(components(found), "near-components")
+    for turn in range(ROUNDS * any_big):
+        hot = stored(placed(of).join(big, "_k", "left_semi"), "near-hot")
+        most_of = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c")).groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"))
+        hot = stored(hot.join(most_of, "_k"), "near-placed")
+        centres = None
+        for c in range(CENTRES):  # all nodes are components of their own at first
+            pick = F.xxhash64("_n", "_k", F.lit(turn * CENTRES + c))
+            one = hot.filter(F.col("_of") == F.col("_most")) if turn else hot
+            one = one.groupBy("_k").agg(F.min_by(F.struct("_n", "_of", *checked), pick).alias("_x")).select("_k", "_x.*")
+            centres = one if centres is None else centres.unionByName(one)
+        outside = hot.filter("_of <> _most") if turn else hot
+        new = _verified(near(centres, outside.drop("_most"), ["_k"], "true"), docs, SALTS)
+        if not new.take(1):
+            break
+        found.append(new)
+        of = stored(components(reduce(DataFrame.unionByName, found)), "near-components")
+    keyed = placed(of)
+    small = keyed.join(big, "_k", "left_anti") if any_big else keyed
+    pairs = near(small, small, ["_k"], "a < b")
     if any_big:
-        named = stored(hot.join(of.select(F.col("node").alias("_n"), "component"), "_n", "left").withColumn("_of", F.coalesce("component", "_n")).drop("component"), "near-named")
-        most_of = named.groupBy("_k", "_of").agg(F.count("*").alias("_c")).groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"))
-        named = stored(named.join(most_of, "_k").withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int")), "near-placed")
-        rest = named.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-        apart = near(rest, named, ["_k", "_salt"]).filter("_ofa <> _ofb and (_ofb = _most or a < b)").select("a", "b")
-        more = _verified(apart, docs, SALTS)
-        if more.take(1):
-            of = stored(components(found.unionByName(more)), "near-components")
+        hot = stored(keyed.join(big, "_k", "left_semi"), "near-hot")
+        most_of = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c")).groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"))
+        hot = stored(hot.join(most_of, "_k").withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int")), "near-placed")
+        outside = hot.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        pairs = pairs.unionByName(near(outside, hot, ["_k", "_salt"], "_ofb = _most or a < b"))
+    found.append(_verified(pairs, docs, SALTS if any_big else 1))
+    of = stored(components(reduce(DataFrame.unionByName, found)), "near-components")
     group = nodes.select("_set", "_n").join(of.select(F.col("node").alias("_n"), "component"), "_n", "left").select("_set", F.coalesce("component", "_n").alias("_group"))
     return rows.select("_rid", "_set").join(group, "_set").select("_rid", "_group")
 

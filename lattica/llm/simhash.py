@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import hex_digits, others, packed, stored, table, unpacked, with_rid, without
+from lattica.llm.common import hex_digits, others, packed, released, stored, table, unpacked, with_rid, without
 from lattica.llm.components import components
 
 BITS, SHINGLE, SEED = 2, 3, 42
@@ -165,11 +165,14 @@ def links(nodes: DataFrame, bits: int = BITS, n: int | None = None) -> DataFrame
     One job finds the buckets of all masks; each further one those of the masks that divide what was hot."""
     masks = [m for part, t in plan(nodes, nodes.count() if n is None else n, bits) for m in fixing(part, t)]
     rows = nodes.select("_fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("m"))
-    found = []
+    found, before = [], None
     while True:
         rows = rows.select("m", F.col("_fp").bitwiseAND(F.col("m")).alias("k"), "_fp")
         sizes = rows.groupBy("m", "k").agg(F.count("*").alias("n"), F.min("_fp").alias("least")).filter("n > 1")
         met = stored(rows.join(sizes, ["m", "k"]), "simhash-buckets")  # buckets of one are gone
+        if before is not None:
+            released(before)
+        before = met
         all_near = F.lit(64) - F.bit_count("m") <= bits
         small = met.filter((F.col("n") <= HOT) & ~all_near).select("m", "k", "_fp")
         pairs = small.withColumnRenamed("_fp", "a").join(small.withColumnRenamed("_fp", "b"), ["m", "k"]).filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
