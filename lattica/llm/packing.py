@@ -35,7 +35,7 @@ TOKENIZER = "word_bpe_49k.json"
 #: Groups of large lengths, and the least lengths that count as large, as shares of a sequence.
 GROUPS, THRESHOLDS = 128, (0.125, 0.25, 0.5)
 #: Bytes that a Python worker remembers of chunks of text and their ids, and what an entry takes besides them.
-REMEMBERED, ENTRY = 250 << 20, 200
+REMEMBERED, ENTRY = 128 << 20, 200
 #: Pieces of one length that a task numbers.
 NUMBERED = 100_000
 _MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"

@@ -15,7 +15,7 @@ gives an empty result; other columns are ignored (`filtered` keeps them).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +59,20 @@ class Model:
         return float(1 / (1 + np.exp(-z))) if z >= 0 else float(np.exp(z) / (1 + np.exp(z)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
+class Packed(Sequence):
+    """Feature numbers of rows that are kept as bitmaps."""
+
+    def __init__(self, bitmaps: list[bytes]) -> None:
+        self.bitmaps = bitmaps
+
+    def __len__(self) -> int:
+        return len(self.bitmaps)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(self.bitmaps[i], dtype=np.uint8)))
+
+
+def fit(rows: Sequence[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """rows: feature numbers; labels: 1 and 0."""
     y = np.where(labels == 1, 1.0, -1.0)
     if not (y > 0).any() or not (y < 0).any():
@@ -127,11 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     got = rows.mapInArrow(bitmap, f"doc_id {kind}, label int, bitmap binary").orderBy("doc_id", "label", "bitmap").limit(sample)
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, marks = [], []
+        maps, marks = [], []
         for b in batches:
-            sets += [np.flatnonzero(np.unpackbits(np.frombuffer(x.as_py(), dtype=np.uint8))).astype(np.int32) for x in b.column("bitmap")]
+            maps += b.column("bitmap").to_pylist()
             marks += b.column("label").to_pylist()
-        m = fit(sets, np.array(marks))
+        m = fit(Packed(maps), np.array(marks))
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.offset))], names=["weights", "bias", "slope", "offset"])
 
     m = got.repartition(1).sortWithinPartitions("doc_id", "label", "bitmap").mapInArrow(fitted, "weights binary, bias double, slope double, offset double").first()  # `sample` rows at most
