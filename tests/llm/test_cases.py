@@ -316,7 +316,7 @@ def test_topk_odd_vectors(spark):
 
 
 def test_lm_scores(docs, none):
-    got = lm_score.lm_scores(docs, sample=8, head=20, listed=8).collect()
+    got = lm_score.lm_scores(docs, head=20, listed=1).collect()
     counts: dict[bytes, int] = {}
     words = [(i, lm_score.words(t) + [b""]) for i, t, *_ in ROWS]
     learn = [w for i, w in words if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -332,12 +332,50 @@ def test_lm_scores(docs, none):
 
 def test_lm_probabilities_sum_to_one():
     m = lm_score.Gru(np.array([9.0, 5, 3, 2, 1]), 4, hidden=6, n_classes=3)
-    m.fit([np.array([1, 2, 5, 0] * 8)] * 3, streams=2, window=4, passes=2)
+    m.fit([np.array([1, 2, 5, 0] * 8)] * 3, streams=2, window=4, updates=1, passes=2)
     state = np.random.default_rng(1).standard_normal((2, 6)).astype(np.float32)
     total = sum(np.exp(m.log_prob(state, np.array([w, w]))) for w in range(6))
     assert np.allclose(total, 1, atol=1e-5)
 
 
+def test_lm_documents_score_as_a_plain_run():
+    """State carried over windows, and documents of all lengths together, against one step after another."""
+    rng = np.random.default_rng(3)
+    m = lm_score.Gru(np.array([9.0, 5, 3, 2, 1]), 4, hidden=6, n_classes=3)
+    docs = [np.append(rng.integers(1, 6, n), 0) for n in (0, 1, 63, 64, 65, 200, 3)]
+    m.fit(docs, window=8)
+    p = {k: w.astype(float) for k, w in m.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - np.log(np.exp(x).sum())
+    for d, got in zip(docs, m.score(docs, window=64), strict=True):
+        h, want = np.zeros(6), 0.0
+        for y in d:
+            c = m.class_of[y]
+            want += log_softmax(h @ p["wc"] + p["bc"])[c]
+            if c < m.n_classes:
+                a, b = m.bounds[c], m.bounds[c + 1]
+                want += log_softmax(p["wo"][a:b] @ h + p["bo"][a:b])[y - a]
+            x, g = p["e"][y] + p["b"], h @ p["u"]
+            z, r = sig(x[:6] + g[:6]), sig(x[6:12] + g[6:12])
+            h = z * h + (1 - z) * np.tanh(x[12:] + r * g[12:])
+        assert abs(got - want) < 1e-3 * max(1, abs(want))
+
+
+def test_lm_learns_from_all_training_rows(spark, monkeypatch):
+    """Words follow one another in a fixed order, which counts can't tell; and the tasks' weights are averaged in several steps."""
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    rng = random.Random(1)
+    texts = [" ".join(f"w{(a + k) % 12}" for k in range(60)) for a in (rng.randrange(12) for _ in range(600))]
+    got = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).filter("held_out").collect()
+    assert len(got) > 50 and sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
+
+
+def test_lm_without_training_rows(spark):
+    held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    got = lm_score.lm_scores(spark.createDataFrame([(held[0], "a b"), (held[1], None), (held[2], "a")], "doc_id long, text string")).collect()
+    assert sorted((r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got) == [(1, 0, 0, 0, 0), (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)]
+
+
 def test_lm_gradients():
     m = lm_score.Gru(np.array([9.0, 5, 3, 2, 1]), 4, hidden=5, n_classes=3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
