@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions import classify
 from lattica.operators import graph
+from lattica.operators.ranking import placed
+from lattica.storage import once
 
 TOP_HOTSPOTS, TOP_COUPLED, TOP_FOUND = 10, 3, 8
 #: Fixed values of the health score.
@@ -26,6 +28,7 @@ def hotspots(files: DataFrame, edges: DataFrame, top: int = TOP_HOTSPOTS) -> Dat
 
 def summary(files: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of totals, with the numbers of cycles and orphans."""
+    edges = once(edges, "edges")
     n = files.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in (("components", "component_count"), ("functions", "function_count"), ("classes", "class_count"), ("imports", "import_count"), ("exports", "export_count"), ("complexity", "complexity_total"))])
     cyc = graph.cycles(edges).agg(F.countDistinct("scc_id").alias("circular_deps"))
     orp = graph.orphans(files, edges).agg(F.count("*").alias("orphan_files"))
@@ -88,12 +91,13 @@ def layer_edges(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def layer_grid(files: DataFrame, per_row: int = 5) -> DataFrame:
     """id, layer, col, row: places in a grid of each layer, in order of id."""
-    i = F.row_number().over(Window.partitionBy("layer").orderBy("id")) - 1
-    return files.select("id", "layer", i.alias("_i")).select("id", "layer", (F.col("_i") % per_row).cast("long").alias("col"), F.floor(F.col("_i") / per_row).alias("row"))
+    d = placed(files.select("id", "layer"), "layer", "id", "_i")
+    return d.select("id", "layer", (F.col("_i") % per_row).cast("long").alias("col"), F.floor(F.col("_i") / per_row).alias("row"))
 
 
 def health(files: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: modularity, dependency_health, complexity, overall, and what went into them."""
+    edges = once(edges, "edges")
     n = files.agg(F.coalesce(F.sum("function_count"), F.lit(0)).alias("functions"), F.coalesce(F.sum("complexity_total"), F.lit(0)).alias("total"))
     cyc = graph.cycles(edges).agg(F.countDistinct("scc_id").alias("cycles"))
     orp = graph.orphans(files, edges).agg(F.count("*").alias("orphans"))
@@ -109,8 +113,39 @@ def health(files: DataFrame, edges: DataFrame) -> DataFrame:
     return row.withColumn("band", classify.score_band(F.col("overall"))).drop("total")
 
 
+def health_reasons(files: DataFrame, edges: DataFrame, score: DataFrame, root: str = "") -> DataFrame:
+    """score, ord, penalty, reason: what each of the three scores of health() lost points for, or that there was nothing; never empty."""
+    edges = once(edges, "edges")
+    name = lambda c: classify.relative(c, root)
+    steps = graph.cycle_paths(edges, order="ord" if "ord" in edges.columns else "dst").select("scc_id", F.posexplode("path").alias("at", "id")).join(files.select("id", name(F.col("path")).alias("n")), "id")
+    ring = steps.groupBy("scc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("ns"))  # of one path
+    said = lambda a, b, c: F.concat(F.lit(f"-{a}: {b}"), c)
+    cyc = ring.select(F.lit("modularity").alias("score"), F.col("scc_id").cast("string").alias("key"), F.lit(1).alias("kind"), F.lit(CYCLE_PENALTY).alias("penalty"), said(CYCLE_PENALTY, "cycle ", F.array_join(F.concat("ns", F.slice("ns", 1, 1)), " → ")).alias("reason"))
+    hot = high_coupling(module_metrics(files, edges))
+    hot = hot.select(F.lit("modularity"), "module", F.lit(2), F.lit(COUPLING_PENALTY), said(COUPLING_PENALTY, "coupling of module ", F.concat("module", F.lit(" is "), F.col("coupling"), F.lit(", not below the mean"))))
+    orp = graph.orphans(files, edges).select(F.lit("dependency_health"), F.col("path"), F.lit(1), F.lit(ORPHAN_PENALTY), said(ORPHAN_PENALTY, "nothing uses ", name(F.col("path"))))
+    mean = F.format_number("average_complexity", 1)
+    over = F.floor((F.col("average_complexity") - COMPLEXITY_LIMIT) * COMPLEXITY_PENALTY + 0.5).cast("int")
+    cpx = score.select(
+        F.lit("complexity"), F.lit(""), F.lit(1), F.when((F.col("functions") > 0) & (F.col("average_complexity") > COMPLEXITY_LIMIT), over).otherwise(0),
+        F.when(F.col("functions") == 0, "no functions to measure")
+        .when(F.col("average_complexity") > COMPLEXITY_LIMIT, F.concat(F.lit("-"), over, F.lit(": mean complexity "), mean, F.lit(f" is above {COMPLEXITY_LIMIT}")))
+        .otherwise(F.concat(F.lit("mean complexity "), mean, F.lit(f" is within {COMPLEXITY_LIMIT}"))),
+    )
+    none = score.select(F.explode(F.array(F.struct(F.lit("modularity").alias("score"), F.lit("no cycles and no modules of high coupling").alias("reason")), F.struct(F.lit("dependency_health").alias("score"), F.lit("no orphan files").alias("reason")))).alias("x")).select("x.score", F.lit("").alias("key"), F.lit(0).alias("kind"), F.lit(0).alias("penalty"), "x.reason")
+    lost = once(cyc.unionAll(hot).unionAll(orp).unionAll(cpx), "reasons")
+    return lost.unionByName(none.join(lost, "score", "left_anti")).select("score", "kind", "key", "penalty", "reason")
+
+
+def highlight(report: dict) -> dict:
+    """label, targets, impacted, routes: what a drawing of the graph marks, for the report of one file's impact or of all changes'."""
+    one = "target" in report
+    return {"label": "BLAST RADIUS" if one else "DIFF IMPACT", "targets": [report["target"]] if one else report["changed"], "impacted": report["files"], "routes": report["routes"]}
+
+
 def attention(files: DataFrame, edges: DataFrame) -> DataFrame:
     """section (1 cycles, 2 orphans, 3 coupled modules), item, value: what needs a look."""
+    edges = once(edges, "edges")
     c = graph.cycles(edges).groupBy("scc_id").agg(F.count("*").alias("value")).select(F.lit(1).alias("section"), F.col("scc_id").cast("string").alias("item"), "value")
     o = graph.orphans(files, edges).select(F.lit(2).alias("section"), F.col("path").alias("item"), F.lit(0).cast("long").alias("value"))
     m = top_coupled(module_metrics(files, edges)).select(F.lit(3).alias("section"), F.col("module").alias("item"), F.col("coupling").alias("value"))
@@ -145,9 +180,9 @@ def direct(files: DataFrame, edges: DataFrame, target: Column) -> DataFrame:
     return on.unionAll(by).distinct()
 
 
-def impact(files: DataFrame, edges: DataFrame, targets: DataFrame, small: int = graph.SMALL) -> DataFrame:
+def impact(files: DataFrame, edges: DataFrame, targets: DataFrame, small: int = graph.SMALL, ranked: bool = False) -> DataFrame:
     """origin, id, hop, rank, is_route: what depends on each target, however far."""
-    back = graph.reach(graph.reverse(edges, files), targets, small=small)
+    back = graph.reach(graph.reverse(edges, files), targets, small=small, ranked=ranked)
     return back.join(files.select("id", classify.is_route(F.col("rel_path")).alias("is_route")), "id").select("origin", "id", "hop", "rank", "is_route")
 
 
@@ -201,9 +236,9 @@ def in_cycle_path(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def ring_places(distances: DataFrame, radius: int = 90) -> DataFrame:
     """id, x, y: on a ring for each hop, at even angles in order of id."""
-    ring = Window.partitionBy("hop")
-    angle = 2 * F.pi() * (F.row_number().over(ring.orderBy("id")) - 1) / F.count("*").over(ring)
-    return distances.select("id", (F.col("hop") * radius * F.cos(angle)).alias("x"), (F.col("hop") * radius * F.sin(angle)).alias("y"))
+    d = placed(distances.select("id", "hop"), "hop", "id", "_i")
+    angle = 2 * F.pi() * F.col("_i") / F.col("_size")
+    return d.select("id", (F.col("hop") * radius * F.cos(angle)).alias("x"), (F.col("hop") * radius * F.sin(angle)).alias("y"))
 
 
 def nodes_drawn(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -213,6 +248,7 @@ def nodes_drawn(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 def overview(files: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of totals, with the number of edge rows and of entry points."""
+    edges = once(edges, "edges")
     n = edges.agg(F.count("*").alias("edges"))
     e = files.agg(F.count_if("is_entry_point").alias("entry_points"))
     return summary(files, edges).crossJoin(n).crossJoin(e)  # single rows

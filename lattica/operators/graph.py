@@ -1,19 +1,21 @@
 """Graph operators over nodes (id, ...) and edges (src, dst, ...).
 
-Walks and components have two ways. A graph of at most SMALL edges, counted first, goes to one task, where a queue
-gives every node's hop and its exact place in breadth-first order. A larger one is walked level by level with joins, each level a written
-table, so no task holds the graph.
+Walks and components have two ways. A graph of at most SMALL edges, counted first, fits a task, where a queue
+gives every node's hop and its exact place in breadth-first order: the edges go to the tasks, the origins are dealt among them. A larger one is walked
+level by level with joins, each level a written table, so no task holds the graph.
 """
 
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.storage import stored
+from lattica.storage import once, released, stored
 
 #: Edges that one task may hold, at some 100 bytes each.
 SMALL = 1_000_000
@@ -62,69 +64,88 @@ def _is_small(edges: DataFrame, small: int) -> bool:
     return edges.limit(small + 1).count() <= small
 
 
-def reach(edges: DataFrame, seeds: DataFrame, together: bool = False, small: int = SMALL, order: str = "dst") -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, together: bool = False, small: int = SMALL, order: str = "dst", ranked: bool = False) -> DataFrame:
     """origin, id, hop, rank: what each seed (id) reaches along distinct edges, itself left out unless `together`.
 
-    With `together` all seeds are one origin (null) at hop 0, and hop is the distance to the nearest. rank is the place in breadth-first
+    With `together` all seeds are one origin (null) at hop 0, and hop is the distance to the nearest. rank, null unless `ranked`, is the place in breadth-first
     order: by the rank of the parent that finds a node first, then by `order` of the edge (dst, or a column of `edges`).
     """
     cols = ["src", "dst"] + ([order] if order != "dst" else [])
     e = edges.select(*cols).groupBy("src", "dst").agg(F.min(order).alias("_ord")) if order != "dst" else distinct_edges(edges).withColumn("_ord", F.col("dst"))
-    kind = dict(edges.dtypes)["src"]
-    schema = f"origin {kind}, id {kind}, hop long, rank long"
+    e = stored(e, "walk-edges")
     seeds = seeds.select("id").distinct()
-    return _reach_in_task(e, seeds, together, schema) if _is_small(e, small) else _reach_by_joins(e, seeds, together)
+    out = _reach_in_tasks(e, seeds, together) if _is_small(e, small) else _reach_by_joins(e, seeds, together, ranked)
+    return out if ranked else out.withColumn("rank", F.lit(None).cast("long"))
+
+
+def _reach_in_tasks(e: DataFrame, seeds: DataFrame, together: bool) -> DataFrame:
+    kind = dict(e.dtypes)["src"]
+    graph = e.sparkSession.sparkContext.broadcast(e.orderBy("src", "_ord", "dst").select("src", "dst").toArrow())  # SMALL rows at most
+
+    def walk(starts: list, after: dict, origin: object) -> list[tuple]:
+        hop = dict.fromkeys(starts, 0)
+        rows = [(None, x, 0, k) for k, x in enumerate(starts)] if together else []
+        todo, rank = deque(starts), len(rows) - 1 if together else 0
+        while todo:
+            a = todo.popleft()
+            for b in after.get(a, ()):
+                if b not in hop:
+                    hop[b] = hop[a] + 1
+                    rank += 1
+                    rows.append((origin, b, hop[b], rank))
+                    todo.append(b)
+        return rows
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after: dict = {}
+        for b in batches:
+            if not after and len(b):
+                for x, y in zip(graph.value["src"].to_pylist(), graph.value["dst"].to_pylist(), strict=True):
+                    after.setdefault(x, []).append(y)
+            ids = sorted(b["id"])
+            for origin, starts in [(None, ids)] if together and ids else [(x, [x]) for x in ids]:
+                yield pd.DataFrame(walk(starts, after, origin), columns=["origin", "id", "hop", "rank"])
 
+    if together:  # the seeds of one walk are one batch: their number is bounded by the edges and themselves
+        seeds = seeds.groupBy().agg(F.array_sort(F.collect_list("id")).alias("_all")).select("_all")
 
-def _reach_in_task(e: DataFrame, seeds: DataFrame, together: bool, schema: str) -> DataFrame:
-    def walk(key: tuple, s: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b in g.sort_values(["src", "_ord", "dst"])[["src", "dst"]].itertuples(index=False):
-            after.setdefault(a, []).append(b)
-        rows = []
-        starts = sorted(s["id"])
-        for origin, group in [(None, starts)] if together else [(x, [x]) for x in starts]:
-            hop = dict.fromkeys(group, 0)
-            todo, rank = deque(group), 0
-            if together:
-                rows += [(None, x, 0, k) for k, x in enumerate(group)]
-                rank = len(group) - 1
-            while todo:
-                a = todo.popleft()
-                for b in after.get(a, ()):
-                    if b not in hop:
-                        hop[b] = hop[a] + 1
-                        rank += 1
-                        rows.append((origin, b, hop[b], rank))
-                        todo.append(b)
-        return pd.DataFrame(rows, columns=["origin", "id", "hop", "rank"])
+        def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            yield from run(pd.DataFrame({"id": list(x)}) for b in batches for x in b["_all"])
 
-    one = F.lit(0).alias("_one")
-    return seeds.select(one, "id").groupBy("_one").cogroup(e.select(one, "src", "dst", "_ord").groupBy("_one")).applyInPandas(walk, schema)
+        return seeds.mapInPandas(whole, f"origin {kind}, id {kind}, hop long, rank long")
+    return seeds.mapInPandas(run, f"origin {kind}, id {kind}, hop long, rank long")
 
 
-def _reach_by_joins(e: DataFrame, seeds: DataFrame, together: bool) -> DataFrame:
+def _reach_by_joins(e: DataFrame, seeds: DataFrame, together: bool, ranked: bool) -> DataFrame:
     kind = dict(seeds.dtypes)["id"]
-    origin = F.lit(None).cast(kind) if together else F.col("id")
-    place = F.row_number().over(Window.orderBy("id")) - 1 if together else F.lit(0)
-    seen = stored(seeds.select(origin.alias("origin"), "id", F.lit(0).cast("long").alias("hop"), place.cast("long").alias("rank")), "reach")
-    front, start = seen, seen
+    none = F.lit(None).cast("long")
+    start = seeds.select((F.lit(None).cast(kind) if together else F.col("id")).alias("origin"), "id", F.lit(0).cast("long").alias("hop"))
+    first = F.row_number().over(Window.orderBy("id")) - 1 if together else F.lit(0)  # of the seeds of one walk
+    front = stored(start.withColumn("rank", first.cast("long") if ranked else none), "reach")
+    levels = [front]  # written once each; several are brought together now and then, so that plans stay short
     for hop in range(1, 1 << 30):
-        found = front.join(e, front["id"] == e["src"]).groupBy("origin", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "_ord")).alias("_by"))
-        new = found.join(seen.select(F.col("origin").alias("o"), F.col("id").alias("i")), F.col("origin").eqNullSafe(F.col("o")) & (F.col("id") == F.col("i")), "left_anti")
-        order = Window.partitionBy("origin").orderBy("_by", "id")
-        base = seen.groupBy("origin").agg(F.max("rank").alias("_base"))
-        new = new.join(base.withColumnRenamed("origin", "o"), F.col("origin").eqNullSafe(F.col("o"))).select("origin", "id", F.lit(hop).cast("long").alias("hop"), (F.col("_base") + F.row_number().over(order)).alias("rank"))
-        front = stored(new, "reach")
+        seen = reduce(DataFrame.unionByName, levels)
+        met = front.join(e, front["id"] == e["src"])
+        met = met.groupBy("origin", F.col("dst").alias("id")).agg(F.min(F.struct("rank", "_ord")).alias("_by")) if ranked else met.select("origin", F.col("dst").alias("id")).distinct()
+        new = met.join(seen.select(F.col("origin").alias("o"), F.col("id").alias("i")), F.col("origin").eqNullSafe(F.col("o")) & (F.col("id") == F.col("i")), "left_anti")
+        if ranked:
+            order = Window.partitionBy("origin").orderBy("_by", "id")
+            base = seen.groupBy("origin").agg(F.max("rank").alias("_base"))
+            new = new.join(base.withColumnRenamed("origin", "o"), F.col("origin").eqNullSafe(F.col("o"))).withColumn("rank", F.col("_base") + F.row_number().over(order))
+        front = stored(new.select("origin", "id", F.lit(hop).cast("long").alias("hop"), F.col("rank") if ranked else none.alias("rank")), "reach")
         if not front.take(1):
-            return seen if together else seen.join(start.select("origin", "id"), ["origin", "id"], "left_anti").select("origin", "id", "hop", "rank")
-        seen = stored(seen.unionByName(front), "reach")
+            return seen if together else seen.filter("hop > 0")
+        levels.append(front)
+        if len(levels) > 16:
+            merged = stored(reduce(DataFrame.unionByName, levels), "reach")
+            released(*levels[:-1])
+            levels = [merged]
     raise AssertionError
 
 
 def strong_components(edges: DataFrame, small: int = SMALL) -> DataFrame:
     """id, scc_id (the smallest member) for each end of an edge."""
-    e = distinct_edges(edges)
+    e = stored(distinct_edges(edges), "scc-edges")
     kind = dict(edges.dtypes)["src"]
     if not _is_small(e, small):
         return _strong_by_joins(e)
@@ -219,21 +240,30 @@ def cycles(edges: DataFrame, small: int = SMALL) -> DataFrame:
     return c.join(several.union(selves).distinct(), "scc_id", "left_semi").select("scc_id", "id")
 
 
-def cycle_paths(edges: DataFrame, small: int = SMALL) -> DataFrame:
-    """scc_id, path: one closed walk for each cycle: from the smallest member always on to the first other member
-    that an edge leads to, until a member comes again; the part between."""
+def cycle_paths(edges: DataFrame, small: int = SMALL, order: str = "dst") -> DataFrame:
+    """scc_id, path: one closed walk for each cycle. From the smallest member the walk goes on along the edges inside the component, edges of a node to itself
+    left out. Where one leads back to the walk, the first that does closes it, and the path is the part between; else the first is
+    taken. Edges of a node come in the order of their dst, or of a column of `edges`."""
     kind = dict(edges.dtypes)["src"]
+    edges = once(edges, "cycle-edges")
     member = cycles(edges, small)
-    within = distinct_edges(edges).join(member.select("scc_id", F.col("id").alias("src")), "src").join(member.select(F.col("scc_id").alias("_other"), F.col("id").alias("dst")), "dst").filter("scc_id = _other").select("scc_id", "src", "dst")
+    first = edges.groupBy("src", "dst").agg(F.min(order).alias("_ord")) if order != "dst" else distinct_edges(edges).withColumn("_ord", F.col("dst"))
+    within = first.join(member.select("scc_id", F.col("id").alias("src")), "src").join(member.select(F.col("scc_id").alias("_other"), F.col("id").alias("dst")), "dst").filter("scc_id = _other").select("scc_id", "src", "dst", "_ord")
 
     def walk(g: pd.DataFrame) -> pd.DataFrame:
-        scc = g["scc_id"].iloc[0]
-        nxt = g[g["src"] != g["dst"]].groupby("src")["dst"].min().to_dict()
-        at, seen, path = scc, {}, []
-        while at not in seen:
-            seen[at] = len(path)
-            path.append(at)
-            at = nxt.get(at, at)
-        return pd.DataFrame({"scc_id": [scc], "path": [path[seen[at] :]]})
+        scc, after = g["scc_id"].iloc[0], {}
+        for a, b in g.sort_values(["src", "_ord", "dst"])[["src", "dst"]].itertuples(index=False):
+            if a != b:
+                after.setdefault(a, []).append(b)
+        path, place, closed = [scc], {scc: 0}, 0
+        while path[-1] in after:
+            ways = after[path[-1]]
+            back = next((b for b in ways if b in place), None)
+            if back is not None:
+                closed = place[back]
+                break
+            place[ways[0]] = len(path)
+            path.append(ways[0])
+        return pd.DataFrame({"scc_id": [scc], "path": [path[closed:]]})
 
     return within.groupBy("scc_id").applyInPandas(walk, f"scc_id {kind}, path array<{kind}>")

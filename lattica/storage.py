@@ -42,6 +42,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """`df` stored, unless it is a stored table already: for what several branches of a report read."""
+    return df if hasattr(df, "_stored_at") else stored(df, name)
+
+
 def released(*tables: DataFrame) -> None:
     """Deletes tables that stored() gave, when nothing that is still to run reads them."""
     for t in tables:
