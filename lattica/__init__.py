@@ -6,3 +6,5 @@ from pyspark import cloudpickle
 
 # What runs on executors travels with the job, so the package needs no installation there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+VERSION = "0.2.0"

@@ -36,10 +36,6 @@ def dirname(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 
 
-def to_posix(path: Column) -> Column:
-    return F.replace(path, F.lit("\\"), F.lit("/"))
-
-
 def under_or_equal(path: Column, root: Column | str) -> Column:
     root = F.lit(root) if isinstance(root, str) else root
     return (path == root) | F.startswith(path, F.concat(root, F.lit("/")))

@@ -29,8 +29,13 @@ def hotspots(files: DataFrame, edges: DataFrame, top: int = TOP_HOTSPOTS) -> Dat
 def summary(files: DataFrame, edges: DataFrame) -> DataFrame:
     """One row of totals, with the numbers of cycles and orphans."""
     edges = once(edges, "edges")
+    return totals(files, edges, graph.cycles(edges))
+
+
+def totals(files: DataFrame, edges: DataFrame, cycles: DataFrame) -> DataFrame:
+    """summary(), with the cycles given."""
     n = files.agg(F.count("*").alias("files"), *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in (("components", "component_count"), ("functions", "function_count"), ("classes", "class_count"), ("imports", "import_count"), ("exports", "export_count"), ("complexity", "complexity_total"))])
-    cyc = graph.cycles(edges).agg(F.countDistinct("scc_id").alias("circular_deps"))
+    cyc = cycles.agg(F.countDistinct("scc_id").alias("circular_deps"))
     orp = graph.orphans(files, edges).agg(F.count("*").alias("orphan_files"))
     return n.crossJoin(cyc).crossJoin(orp)  # single rows
 
@@ -120,7 +125,7 @@ def health_reasons(files: DataFrame, edges: DataFrame, score: DataFrame, root: s
     steps = graph.cycle_paths(edges, order="ord" if "ord" in edges.columns else "dst").select("scc_id", F.posexplode("path").alias("at", "id")).join(files.select("id", name(F.col("path")).alias("n")), "id")
     ring = steps.groupBy("scc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("ns"))  # of one path
     said = lambda a, b, c: F.concat(F.lit(f"-{a}: {b}"), c)
-    cyc = ring.select(F.lit("modularity").alias("score"), F.col("scc_id").cast("string").alias("key"), F.lit(1).alias("kind"), F.lit(CYCLE_PENALTY).alias("penalty"), said(CYCLE_PENALTY, "cycle ", F.array_join(F.concat("ns", F.slice("ns", 1, 1)), " → ")).alias("reason"))
+    cyc = ring.select(F.lit("modularity").alias("score"), F.lpad(F.col("scc_id").cast("string"), 20, "0").alias("key"), F.lit(1).alias("kind"), F.lit(CYCLE_PENALTY).alias("penalty"), said(CYCLE_PENALTY, "cycle ", F.array_join(F.concat("ns", F.slice("ns", 1, 1)), " → ")).alias("reason"))
     hot = high_coupling(module_metrics(files, edges))
     hot = hot.select(F.lit("modularity"), "module", F.lit(2), F.lit(COUPLING_PENALTY), said(COUPLING_PENALTY, "coupling of module ", F.concat("module", F.lit(" is "), F.col("coupling"), F.lit(", not below the mean"))))
     orp = graph.orphans(files, edges).select(F.lit("dependency_health"), F.col("path"), F.lit(1), F.lit(ORPHAN_PENALTY), said(ORPHAN_PENALTY, "nothing uses ", name(F.col("path"))))

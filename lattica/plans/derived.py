@@ -17,8 +17,8 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """src, dst, kind; repeats kept."""
     line = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
-    e = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), "l_discount", F.when(F.col("l_returnflag") == "R", "reExport").when(F.col("l_returnflag") == "A", "require").otherwise("import").alias("kind"))
-    return e.filter("dst is not null and l_discount >= 0.1").select("src", "dst", "kind")
+    e = line.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"), F.when(F.col("l_returnflag") == "R", "reExport").when(F.col("l_returnflag") == "A", "require").otherwise("import").alias("kind"))
+    return e.filter("dst is not null").select("src", "dst", "kind")
 
 
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,17 +60,33 @@ def key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """from_symbol, to_symbol, kind: a user's event after the one before; symbols are "type#user mod 40"."""
+    """from_symbol, to_symbol, kind: a user's event after the one before; symbols are "type#user"."""
     ev = table(spark, sf_dir, "events")
-    symbol = F.concat("event_type", F.lit("#"), F.col("user_id") % 40)
+    symbol = F.concat("event_type", F.lit("#"), F.col("user_id"))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(F.lag(symbol).over(order).alias("from_symbol"), symbol.alias("to_symbol"), F.when(F.col("event_type") == "click", "calls").otherwise("renders").alias("kind")).filter("from_symbol is not null")
 
 
+def key_exports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """own, named and stars (as resolve.export_closure takes them) of a barrel for each key: customers export their orders, their segment and a default, and nations, then
+    regions, pass on all that their members export, as regions do to their nations; suppliers export each line of an order by a name of its own."""
+    t = lambda name: table(spark, sf_dir, name)
+    tag = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    c, o, line, n = t("customer"), t("orders"), t("lineitem"), t("nation")
+    own = o.select(tag("c", "o_custkey").alias("file"), tag("o", "o_orderkey").alias("name"), tag("so", "o_orderkey").alias("symbol"))
+    own = own.unionAll(c.select(tag("c", "c_custkey"), "c_mktsegment", tag("sc", "c_custkey"))).unionAll(c.select(tag("c", "c_custkey"), F.lit("default"), tag("sd", "c_custkey")))
+    own = own.unionAll(n.select(tag("n", "n_nationkey"), F.lit("BUILDING"), tag("sn", "n_nationkey"))).unionAll(n.select(tag("n", "n_nationkey"), "n_name", tag("sn", "n_nationkey")))
+    of = o.select("o_orderkey", tag("c", "o_custkey").alias("from_file"))
+    named = line.join(of, line["l_orderkey"] == of["o_orderkey"]).select(tag("s", "l_suppkey").alias("file"), F.concat(F.lit("l"), F.col("l_orderkey"), F.lit("_"), F.col("l_linenumber")).alias("name"), "from_file", tag("o", "o_orderkey").alias("from_name"))
+    stars = c.select(tag("n", "c_nationkey").alias("file"), tag("c", "c_custkey").alias("from_file"))
+    stars = stars.unionAll(n.select(tag("r", "n_regionkey"), tag("n", "n_nationkey"))).unionAll(n.select(tag("n", "n_nationkey"), tag("r", "n_regionkey")))
+    return own, named, stars
+
+
 SQL = """
 pe AS (SELECT src, dst, kind FROM (
-  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst, l_discount,
-         CASE l_returnflag WHEN 'R' THEN 'reExport' WHEN 'A' THEN 'require' ELSE 'import' END AS kind FROM lineitem) WHERE dst IS NOT NULL AND l_discount >= 0.1),
+  SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS dst,
+         CASE l_returnflag WHEN 'R' THEN 'reExport' WHEN 'A' THEN 'require' ELSE 'import' END AS kind FROM lineitem) WHERE dst IS NOT NULL),
 p AS (SELECT DISTINCT src, dst FROM pe),
 f0 AS (SELECT p_partkey AS id, 'src/' || lower(replace(p_brand, '#', '')) || '/' || (['components', 'services', 'pages', 'db', 'config', 'hooks', 'app', 'misc'])[p_partkey % 8 + 1] || '/' ||
        CASE WHEN p_partkey % 11 = 0 THEN 'p' || p_partkey || '/page' WHEN p_partkey % 13 = 0 THEN 'p' || p_partkey || '.test' ELSE 'p' || p_partkey END || '.tsx' AS path,
@@ -85,6 +101,13 @@ k AS (SELECT 'o:' || o_orderkey AS src, 'c:' || o_custkey AS dst FROM orders UNI
       UNION SELECT 'o:' || l_orderkey, 'p:' || l_partkey FROM lineitem UNION SELECT 'o:' || l_orderkey, 's:' || l_suppkey FROM lineitem)
 """
 EVENT_SQL = """
-u AS (SELECT * FROM (SELECT lag(event_type || '#' || (user_id % 40)) OVER w AS from_symbol, event_type || '#' || (user_id % 40) AS to_symbol,
+u AS (SELECT * FROM (SELECT lag(event_type || '#' || user_id) OVER w AS from_symbol, event_type || '#' || user_id AS to_symbol,
       CASE WHEN event_type = 'click' THEN 'calls' ELSE 'renders' END AS kind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE from_symbol IS NOT NULL)
 """
+EXPORT_SQL = """
+own AS (SELECT 'c' || o_custkey AS file, 'o' || o_orderkey AS name, 'so' || o_orderkey AS symbol FROM orders UNION SELECT 'c' || c_custkey, c_mktsegment, 'sc' || c_custkey FROM customer
+        UNION SELECT 'c' || c_custkey, 'default', 'sd' || c_custkey FROM customer UNION SELECT 'n' || n_nationkey, 'BUILDING', 'sn' || n_nationkey FROM nation UNION SELECT 'n' || n_nationkey, n_name, 'sn' || n_nationkey FROM nation),
+named AS (SELECT DISTINCT 's' || l_suppkey AS file, 'l' || l_orderkey || '_' || l_linenumber AS name, 'c' || o_custkey AS from_file, 'o' || o_orderkey AS from_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+stars AS (SELECT DISTINCT 'n' || c_nationkey AS file, 'c' || c_custkey AS from_file FROM customer UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+hidden AS (SELECT file, name FROM own UNION SELECT file, name FROM named)
+"""

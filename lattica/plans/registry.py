@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import analytics, graph, resolve
-from lattica.plans.derived import EVENT_SQL, FK_SQL, SQL, event_usages, key_edges, part_edges, part_files, table, virtual_sources
+from lattica.plans.derived import EVENT_SQL, EXPORT_SQL, FK_SQL, SQL, event_usages, key_edges, key_exports, part_edges, part_files, table, virtual_sources
 from lattica.plans.project import read_facts, resolved
 from lattica.sources.project_files import Resolver
 from lattica.storage import stored
@@ -105,9 +105,18 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.strong_components(part_edges(spark, sf_dir))
 
 
-@query(None)
+#: The walk of each cycle as it grows; _c: what closes it.
+_WALK_SQL = _CYCLES_SQL + """, cy AS (SELECT id, scc_id FROM m WHERE scc_id IN (SELECT scc_id FROM m GROUP BY scc_id HAVING count(*) > 1) OR id IN (SELECT src FROM p WHERE src = dst)),
+inside AS (SELECT a.scc_id, p.src, p.dst FROM p JOIN cy a ON a.id = p.src JOIN cy b ON b.id = p.dst AND b.scc_id = a.scc_id WHERE p.src <> p.dst),
+w AS (SELECT DISTINCT scc_id, [scc_id] AS path, NULL::BIGINT AS back FROM cy
+      UNION ALL SELECT w.scc_id, CASE WHEN count(*) FILTER (list_contains(w.path, i.dst)) > 0 THEN w.path ELSE list_append(w.path, min(i.dst)) END, min(i.dst) FILTER (list_contains(w.path, i.dst))
+      FROM w JOIN inside i ON i.scc_id = w.scc_id AND i.src = w.path[len(w.path)] WHERE w.back IS NULL GROUP BY w.scc_id, w.path),
+paths AS (SELECT scc_id, CASE WHEN back IS NULL THEN path ELSE path[list_position(path, back):] END AS path FROM w WHERE back IS NOT NULL OR scc_id NOT IN (SELECT scc_id FROM inside))"""
+
+
+@query(_WALK_SQL + " SELECT scc_id, array_to_string(path, ' ') AS path FROM paths", recursive=True)
 def cycle_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycle_paths(part_edges(spark, sf_dir))
+    return graph.cycle_paths(part_edges(spark, sf_dir)).select("scc_id", F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
 
 
 @query(_IMPACT_SQL.format(f"{TARGET}::BIGINT") + f" SELECT r.id, path, is_route FROM r JOIN f USING (id) WHERE r.id <> {TARGET}", recursive=True)
@@ -116,7 +125,7 @@ def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.impact(f, part_edges(spark, sf_dir), ids(spark, (TARGET,))).join(f.select("id", "path"), "id").select("id", "path", "is_route")
 
 
-@query(f", r AS (SELECT {TARGET}::BIGINT AS id, 0 AS hop UNION SELECT p.src, hop + 1 FROM r JOIN p ON p.dst = r.id WHERE hop < 80) SELECT id, min(hop)::BIGINT AS hop FROM r WHERE id <> {TARGET} GROUP BY id", recursive=True)
+@query(f", r(id, hop) USING KEY (id) AS (SELECT {TARGET}::BIGINT AS id, 0 AS hop UNION SELECT p.src, min(r.hop) + 1 FROM r JOIN p ON p.dst = r.id WHERE p.src NOT IN (SELECT id FROM recurring.r) GROUP BY p.src) SELECT id, hop::BIGINT AS hop FROM r WHERE id <> {TARGET}", recursive=True)
 def impact_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.impact(part_files(spark, sf_dir), part_edges(spark, sf_dir), ids(spark, (TARGET,))).select("id", "hop")
 
@@ -136,7 +145,7 @@ def diff_impact_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.diff_counts(part_files(spark, sf_dir), part_edges(spark, sf_dir), ids(spark, CHANGED))
 
 
-_HOPS_SQL = f", r AS (SELECT unnest([{', '.join(map(str, CHANGED))}])::BIGINT AS id, 0 AS hop UNION SELECT p.src, hop + 1 FROM r JOIN p ON p.dst = r.id WHERE hop < 80), h AS (SELECT id, min(hop)::BIGINT AS hop FROM r GROUP BY id)"
+_HOPS_SQL = f", r(id, hop) USING KEY (id) AS (SELECT unnest([{', '.join(map(str, CHANGED))}])::BIGINT AS id, 0 AS hop UNION SELECT p.src, min(r.hop) + 1 FROM r JOIN p ON p.dst = r.id WHERE p.src NOT IN (SELECT id FROM recurring.r) GROUP BY p.src), h AS (SELECT id, hop::BIGINT AS hop FROM r)"
 
 
 @query(_HOPS_SQL + " SELECT id, hop FROM h", recursive=True)
@@ -173,10 +182,10 @@ def call_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.induced(e, members).select("kind", F.col("src").alias("from_symbol"), F.col("dst").alias("to_symbol"))
 
 
-@query(" SELECT DISTINCT from_symbol, to_symbol, kind FROM u WHERE split_part(from_symbol, '#', 2)::INT % 8 = 3 OR split_part(to_symbol, '#', 2)::INT % 8 = 3", base=EVENT_SQL)
+@query(" SELECT DISTINCT from_symbol, to_symbol, kind FROM u WHERE split_part(from_symbol, '#', 2)::INT = 3 OR split_part(to_symbol, '#', 2)::INT = 3", base=EVENT_SQL)
 def symbol_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = event_usages(spark, sf_dir)
-    s = u.select(F.col("from_symbol").alias("symbol_id")).union(u.select("to_symbol")).distinct().withColumn("file_id", F.substring_index("symbol_id", "#", -1).cast("int") % 8)
+    s = u.select(F.col("from_symbol").alias("symbol_id")).union(u.select("to_symbol")).distinct().withColumn("file_id", F.substring_index("symbol_id", "#", -1).cast("int"))
     return analytics.neighbourhood(s, u, F.lit(3))
 
 
@@ -248,42 +257,37 @@ def hide_reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_edges(spark, sf_dir).filter("kind <> 'reExport'")
 
 
-@query("""WITH c AS (SELECT p_partkey AS id, unnest(['', '.ts', '.tsx', '.js', '.jsx', '.mts', '.cts', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mts', '/index.cts', '/index.mjs', '/index.cjs']) AS x, unnest(range(17)) AS pos FROM part),
-d AS (SELECT 'm' || (p_partkey % 50) || (['.ts', '.tsx', '.js', '/index.ts', '/index.js'])[p_partkey % 5 + 1] AS path FROM part WHERE p_partkey % 3 = 0)
-SELECT id, min_by(path, pos) AS path FROM (SELECT c.id, c.pos, 'm' || (c.id % 60) || c.x AS path FROM c) JOIN (SELECT DISTINCT path FROM d) USING (path) GROUP BY id""".removeprefix("WITH "), base="")
+@query("""c AS (SELECT p_partkey AS id, p_partkey + p_size AS of, unnest(['', '.ts', '.tsx', '.js', '.jsx', '.mts', '.cts', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx', '/index.mts', '/index.cts', '/index.mjs', '/index.cjs']) AS x, unnest(range(17)) AS pos FROM part),
+d AS (SELECT 'm' || p_partkey || (['.ts', '.tsx', '.js', '/index.ts', '/index.js'])[p_partkey % 5 + 1] AS path FROM part UNION SELECT 'm' || p_partkey || (['.cjs', '.jsx', '/index.mts'])[p_partkey % 3 + 1] FROM part)
+SELECT id, min_by(path, pos) AS path FROM (SELECT c.id, c.pos, 'm' || c.of || c.x AS path FROM c) JOIN d USING (path) GROUP BY id""", base="")
 def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
-    there = k.filter("id % 3 = 0").select(F.concat(F.lit("m"), F.col("id") % 50, F.element_at(F.array(*[F.lit(x) for x in (".ts", ".tsx", ".js", "/index.ts", "/index.js")]), (F.col("id") % 5).cast("int") + 1)).alias("path"))
-    asked = k.select("id", resolve.candidates(F.concat(F.lit("m"), F.col("id") % 60)).alias("candidates"))
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    with_one = lambda *x: F.concat(F.lit("m"), F.col("id"), F.element_at(F.array(*[F.lit(e) for e in x]), (F.col("id") % len(x)).cast("int") + 1)).alias("path")
+    there = k.select(with_one(".ts", ".tsx", ".js", "/index.ts", "/index.js")).union(k.select(with_one(".cjs", ".jsx", "/index.mts")))
+    asked = k.select("id", resolve.candidates(F.concat(F.lit("m"), F.col("id") + F.col("p_size"))).alias("candidates"))
     return resolve.first_match(asked, there, ["id"])
 
 
-@query("""own AS (SELECT DISTINCT p_partkey % 40 AS file, 'n' || (p_partkey % 7) AS name, 's' || (p_partkey % 40) || '_' || (p_partkey % 7) AS symbol FROM part WHERE p_partkey % 5 = 0),
-stars AS (SELECT DISTINCT s_suppkey % 40 AS file, (s_suppkey * 7 + 1) % 40 AS from_file FROM supplier WHERE s_suppkey % 2 = 0),
-r AS (SELECT file, name, symbol FROM own UNION SELECT s.file, r.name, r.symbol FROM r JOIN stars s ON s.from_file = r.file WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.file = s.file AND o.name = r.name))
-SELECT file, name, min(symbol) AS symbol FROM r GROUP BY file, name HAVING count(DISTINCT symbol) = 1""", recursive=True, base="")
+@query(""", r AS (SELECT file, name, symbol FROM own
+  UNION (SELECT n.file, n.name, r.symbol FROM r JOIN named n ON n.from_file = r.file AND n.from_name = r.name
+         UNION ALL SELECT s.file, r.name, r.symbol FROM r JOIN stars s ON s.from_file = r.file WHERE r.name <> 'default' AND NOT EXISTS (SELECT 1 FROM hidden h WHERE h.file = s.file AND h.name = r.name)))
+SELECT file, name, min(symbol) AS symbol FROM r GROUP BY file, name HAVING count(DISTINCT symbol) = 1""", recursive=True, base=EXPORT_SQL)
 def export_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, s = F.col("p_partkey"), F.col("s_suppkey")
-    own = table(spark, sf_dir, "part").filter(k % 5 == 0).select((k % 40).alias("file"), F.concat(F.lit("n"), k % 7).alias("name"), F.concat(F.lit("s"), k % 40, F.lit("_"), k % 7).alias("symbol")).distinct()
-    stars = table(spark, sf_dir, "supplier").filter(s % 2 == 0).select((s % 40).alias("file"), ((s * 7 + 1) % 40).alias("from_file")).distinct()
-    named = own.limit(0).select("file", "name", F.col("file").alias("from_file"), F.col("name").alias("from_name"))
-    return resolve.export_closure(own, named, stars)
+    return resolve.export_closure(*key_exports(spark, sf_dir))
 
 
-@query("""ev AS (SELECT event_id, user_id % 50 AS scope, epoch(ts)::BIGINT AS at_ FROM events),
-rg AS (SELECT event_id AS range_id, scope, at_ AS start, at_ + 3600 * (1 + event_id % 24) AS end_ FROM ev WHERE event_id % 4 = 0)
+@query("""ev AS (SELECT event_id, user_id AS scope, epoch(ts)::BIGINT AS at_ FROM events),
+rg AS (SELECT event_id AS range_id, scope, at_ - 60 AS start, at_ + 3600 * (1 + event_id % 24) AS end_ FROM ev)
 SELECT e.event_id AS site_id, max_by(r.range_id, (r.start, r.range_id)) AS range_id FROM ev e JOIN rg r ON r.scope = e.scope AND r.start <= e.at_ AND e.at_ < r.end_ GROUP BY e.event_id""", base="")
 def nearest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("site_id"), (F.col("user_id") % 50).alias("scope"), F.unix_timestamp("ts").alias("at"))
-    r = e.filter("site_id % 4 = 0").select("scope", F.col("site_id").alias("range_id"), F.col("at").alias("start"), (F.col("at") + 3600 * (1 + F.col("site_id") % 24)).alias("end"))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("site_id"), F.col("user_id").alias("scope"), F.unix_timestamp("ts").alias("at"))
+    r = e.select("scope", F.col("site_id").alias("range_id"), (F.col("at") - 60).alias("start"), (F.col("at") + 3600 * (1 + F.col("site_id") % 24)).alias("end"))
     return resolve.nearest_enclosing(e, r, "scope")
 
 
-
-
 @query("SELECT '/v/p' || src || '.ts' AS src, '/v/p' || dst || '.ts' AS dst, kind, count(*) AS edges FROM pe GROUP BY src, dst, kind")
 def parse_virtual_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = stored(read_facts(virtual_sources(spark, sf_dir).repartition(8), Resolver()), "facts")
+    facts = stored(read_facts(virtual_sources(spark, sf_dir), Resolver()), "facts")
     return resolved(facts).groupBy(F.col("path").alias("src"), F.col("to").alias("dst"), "kind").agg(F.count("*").alias("edges"))
 
 
@@ -308,7 +312,7 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.overview(part_files(spark, sf_dir), part_edges(spark, sf_dir))
 
 
-@query(None)
+@query(_WALK_SQL + " SELECT DISTINCT id FROM (SELECT unnest(path) AS id FROM paths) JOIN f USING (id)", recursive=True)
 def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.in_cycle_path(part_files(spark, sf_dir), part_edges(spark, sf_dir)).select("id")
 

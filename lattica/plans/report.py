@@ -58,20 +58,20 @@ def hotspots_text(h: dict) -> str:
 
 
 def _routes(r: dict) -> list[str]:
-    return ["", f"{many(len(r['routes']), 'route')} may be affected", *("  " + relative(p, r["root"]) for p in r["routes"])]
+    return ["", f"Routes among them: {len(r['routes'])}", *("  " + relative(p, r["root"]) for p in r["routes"])]
 
 
 def impact_text(r: dict) -> str:
-    out = [paint("Impact", "1"), "", f"Project: {r['project_name']}", f"Target: {relative(r['target'], r['root'])}", "", f"Potential impact: {many(len(r['files']), 'file')}"]
-    return "\n".join([*out, *(["  " + relative(p, r["root"]) for p in r["files"]] or ["  (no files depend on this one)"]), *_routes(r)])
+    out = [paint("Impact", "1"), "", f"Project: {r['project_name']}", f"Target: {relative(r['target'], r['root'])}", "", f"Reaches {many(len(r['files']), 'file')}"]
+    return "\n".join([*out, *(["  " + relative(p, r["root"]) for p in r["files"]] or ["  (nothing leads here)"]), *_routes(r)])
 
 
 def diff_text(r: dict) -> str:
     out = [paint("Impact of changes", "1"), "", f"Project: {r['project_name']}", ""]
     if not r["changed"]:
-        return "\n".join([*out, "No changed files detected (clean working tree, or not a git repository)."])
-    out += [f"Changed: {many(len(r['changed']), 'file')}", *(f"  {relative(p, r['root'])} ({n} impacted)" for p, n in r["per_file"])]
-    out += ["", f"Combined potential impact: {many(len(r['files']), 'file')}", *(["  " + relative(p, r["root"]) for p in r["files"]] or ["  (nothing else depends on these files)"])]
+        return "\n".join([*out, "Git shows no changes here."])
+    out += [f"Changed: {many(len(r['changed']), 'file')}", *(f"  {relative(p, r['root'])} (reaches {n})" for p, n in r["per_file"])]
+    out += ["", f"Together they reach {many(len(r['files']), 'file')}", *(["  " + relative(p, r["root"]) for p in r["files"]] or ["  (nothing else leads to them)"])]
     return "\n".join([*out, *_routes(r)])
 
 
