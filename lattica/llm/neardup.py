@@ -41,7 +41,7 @@ CHECKED, DEVIATIONS = 2, 3.5
 #: Evenly spread nodes of a bucket; a probe costs as much as so many comparisons.
 OCCUPANCY, PROBE = 16, 50
 #: Nodes that a bucket compares pair by pair; tasks that a larger one is dealt into; rounds of stars in it, and centres of each.
-HOT, SALTS, ROUNDS, CENTRES = 64, 16, 3, 2
+HOT, SALTS, ROUNDS, CENTRES = 64, 16, 2, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -237,13 +237,18 @@ def clusters(docs: DataFrame) -> DataFrame:
         component = F.col("_n") if of is None else F.coalesce("component", "_n")
         return own.select("_n", component.alias("_of"), *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
 
+    def with_most(hot: DataFrame) -> DataFrame:
+        """`hot` with _most, the largest component of each bucket."""
+        sizes = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c"))
+        return hot.join(sizes.groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most")), "_k")
+
     keyed, of, found = placed(None), None, []
     big = stored(keyed.groupBy("_k").agg(F.count("*").alias("_c")).filter(F.col("_c") > HOT).select("_k"), "near-big")
     any_big = bool(big.take(1))
     for turn in range(ROUNDS * any_big):
         hot = stored(placed(of).join(big, "_k", "left_semi"), "near-hot")
-        most_of = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c")).groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"))
-        hot = stored(hot.join(most_of, "_k"), "near-placed")
+        if turn:
+            hot = stored(with_most(hot), "near-placed")
         centres = None
         for c in range(CENTRES):  # all nodes are components of their own at first
             pick = F.xxhash64("_n", "_k", F.lit(turn * CENTRES + c))
@@ -261,8 +266,7 @@ def clusters(docs: DataFrame) -> DataFrame:
     pairs = near(small, small, ["_k"], "a < b")
     if any_big:
         hot = stored(keyed.join(big, "_k", "left_semi"), "near-hot")
-        most_of = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c")).groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"))
-        hot = stored(hot.join(most_of, "_k").withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int")), "near-placed")
+        hot = stored(with_most(hot).withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int")), "near-placed")
         outside = hot.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
         pairs = pairs.unionByName(near(outside, hot, ["_k", "_salt"], "_ofb = _most or a < b"))
     found.append(_verified(pairs, docs, SALTS if any_big else 1))

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.llm import decontaminate, licenses, linededup, lm_score, packing, quality, secrets, sharding, simhash, topk
+from lattica.llm.components import components
 
 SCHEMA = "doc_id long, text string, _rid string, key string, _row long, _runs int"
 LONG = " ".join(f"w{k % 997}" for k in range(30_000))
@@ -115,6 +116,22 @@ def test_simhash_hot_buckets_lose_no_link(spark, monkeypatch, hot, thresholds):
     assert {v: got.get(v, v) for v in values} == group
 
 
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_components(spark, small):
+    """Chains, stars, a ring, self-loops, nulls and repeated edges, in one task and by stars."""
+    rng = random.Random(11)
+    edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 240)] + [(300 + k, 300 + (k + 1) % 9) for k in range(9)] + [(rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(40)]
+    rng.shuffle(edges)
+    odd = [(5, 5), (None, 7), (8, None), (-3, -9), (-9, -3)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges + odd, "a long, b long"), small=small).collect()}
+    group: dict[int, int] = {}
+    for a, b in [e for e in edges if e[0] != e[1]] + [(-3, -9)]:
+        a, b = group.setdefault(a, a), group.setdefault(b, b)
+        group = {k: min(a, b) if g in (a, b) else g for k, g in group.items()}
+    assert got == group
+    assert components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
+
+
 def test_simhash_thresholds():
     assert simhash.allocate([{-1: 0, 0: 5, 1: 9}, {-1: 0, 0: 1, 1: 30}], 0)[1] in ([0, 0], [1, -1])
     assert simhash.fingerprint("a b") == simhash.fingerprint("A  B\n")
