@@ -59,6 +59,15 @@ def key_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
+def key_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, is_entry_point (open orders) of all rows that key_edges links."""
+    out = None
+    for name, key, kind in (("orders", "o_orderkey", "o"), ("customer", "c_custkey", "c"), ("supplier", "s_suppkey", "s"), ("part", "p_partkey", "p"), ("nation", "n_nationkey", "n"), ("region", "r_regionkey", "r")):
+        n = table(spark, sf_dir, name).select(F.concat(F.lit(kind + ":"), F.col(key)).alias("id"), (F.col("o_orderstatus") == "O" if kind == "o" else F.lit(False)).alias("is_entry_point"))
+        out = n if out is None else out.unionAll(n)
+    return out
+
+
 def event_usages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """from_symbol, to_symbol, kind: a user's event after the one before; symbols are "type#user"."""
     ev = table(spark, sf_dir, "events")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import analytics, graph, resolve
-from lattica.plans.derived import EVENT_SQL, EXPORT_SQL, FK_SQL, SQL, event_usages, key_edges, key_exports, part_edges, part_files, table, virtual_sources
+from lattica.plans.derived import EVENT_SQL, EXPORT_SQL, FK_SQL, SQL, event_usages, key_edges, key_exports, key_nodes, part_edges, part_files, table, virtual_sources
 from lattica.plans.project import read_facts, resolved
 from lattica.sources.project_files import Resolver
 from lattica.storage import stored
@@ -320,3 +320,45 @@ def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def ring_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.ring_places(hop_distance(spark, sf_dir))
+
+
+# The graphs of keys and of events are sparse: most keys have few edges, and each user's events form components of their own.
+
+_KEY_NODES_SQL = """, kn AS (SELECT 'o:' || o_orderkey AS id, o_orderstatus = 'O' AS is_entry_point FROM orders UNION ALL SELECT 'c:' || c_custkey, false FROM customer UNION ALL SELECT 's:' || s_suppkey, false FROM supplier
+ UNION ALL SELECT 'p:' || p_partkey, false FROM part UNION ALL SELECT 'n:' || n_nationkey, false FROM nation UNION ALL SELECT 'r:' || r_regionkey, false FROM region)"""
+
+
+@query(_KEY_NODES_SQL + " SELECT id FROM kn WHERE NOT is_entry_point AND id NOT IN (SELECT dst FROM k)", base=FK_SQL)
+def key_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orphans(key_nodes(spark, sf_dir), key_edges(spark, sf_dir)).select("id")
+
+
+@query(_KEY_NODES_SQL + " SELECT id, (SELECT count(*) FROM k WHERE dst = kn.id) AS dependents FROM kn", base=FK_SQL)
+def key_in_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_degrees(key_nodes(spark, sf_dir), key_edges(spark, sf_dir))
+
+
+_SYMBOL_P_SQL = EVENT_SQL.rstrip() + ", p AS (SELECT DISTINCT from_symbol AS src, to_symbol AS dst FROM u)"
+
+
+def symbol_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_usages(spark, sf_dir).select(F.col("from_symbol").alias("src"), F.col("to_symbol").alias("dst"))
+
+
+@query(_CYCLES_SQL + ", n AS (SELECT src AS id FROM p UNION SELECT dst FROM p) SELECT n.id, coalesce(m.scc_id, n.id) AS scc_id FROM n LEFT JOIN m USING (id)", recursive=True, base=_SYMBOL_P_SQL)
+def symbol_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strong_components(symbol_edges(spark, sf_dir))
+
+
+@query(_WALK_SQL.replace("BIGINT", "VARCHAR") + " SELECT scc_id, array_to_string(path, ' ') AS path FROM paths", recursive=True, base=_SYMBOL_P_SQL)
+def symbol_cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycle_paths(symbol_edges(spark, sf_dir)).select("scc_id", F.array_join("path", " ").alias("path"))
+
+
+@query(f", r(origin, id, hop) USING KEY (origin, id) AS (SELECT id AS origin, id, 0 AS hop FROM (SELECT DISTINCT src AS id FROM p WHERE src LIKE '{_START.split('#')[0]}#%') UNION SELECT r.origin, p.dst, min(r.hop) + 1 FROM r JOIN p ON p.src = r.id"
+       " WHERE NOT EXISTS (SELECT 1 FROM recurring.r z WHERE z.origin = r.origin AND z.id = p.dst) GROUP BY r.origin, p.dst) SELECT origin, id, hop::BIGINT AS hop FROM r WHERE id <> origin", recursive=True, base=_SYMBOL_P_SQL)
+def symbol_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every symbol of one kind reaches, each by itself."""
+    e = symbol_edges(spark, sf_dir)
+    starts = e.select(F.col("src").alias("id")).filter(F.col("id").startswith(_START.split("#")[0] + "#"))
+    return graph.reach(e, starts).select("origin", "id", "hop")

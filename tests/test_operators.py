@@ -5,8 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lattica import storage
 from lattica.functions import classify
 from lattica.operators import analytics, graph, resolve
+from lattica.operators.ranking import placed
 from lattica.plans import registry, report
 
 E_SCHEMA = "src long, dst long"
@@ -30,10 +32,11 @@ def test_reach_and_components(spark, small):
     random.seed(small)
     edges = [(random.randrange(14), random.randrange(14)) for _ in range(17)] + [(3, 3), (1, 2), (1, 2)]
     e = spark.createDataFrame(edges, E_SCHEMA)
-    got = graph.reach(e, spark.createDataFrame([(1,), (5,)], "id long"), small=small).orderBy("origin", "rank").collect()
+    got = graph.reach(e, spark.createDataFrame([(1,), (5,)], "id long"), small=small, ranked=True).orderBy("origin", "rank").collect()
     for s in (1, 5):
         order, hop = walk(edges, s)
         assert [(r["id"], r["hop"]) for r in got if r["origin"] == s] == [(x, hop[x]) for x in order]
+    assert {(r["origin"], r["id"], r["hop"]) for r in graph.reach(e, spark.createDataFrame([(1,), (5,)], "id long"), small=small).collect()} == {(r["origin"], r["id"], r["hop"]) for r in got}
     near = {r["id"]: r["hop"] for r in graph.reach(e, spark.createDataFrame([(1,), (5,)], "id long"), together=True, small=small).collect()}
     a, b = walk(edges, 1)[1], walk(edges, 5)[1]
     assert near == {x: min(a.get(x, 99), b.get(x, 99)) for x in a.keys() | b.keys()}
@@ -53,6 +56,48 @@ def test_cycle_path_is_a_closed_walk(spark):
         assert all(x in edges for x in zip(p, p[1:] + p[:1], strict=True))
 
 
+def test_cycle_path_closes_at_the_first_edge_back(spark):
+    edges = [(1, 5), (5, 6), (6, 2), (6, 5), (2, 1)]
+    assert graph.cycle_paths(spark.createDataFrame(edges, E_SCHEMA)).first()["path"] == [5, 6]
+    ordered = spark.createDataFrame([(1, 2, 9), (1, 3, 1), (3, 4, 0), (4, 3, 5), (4, 1, 2), (2, 1, 0)], "src long, dst long, ord long")
+    assert graph.cycle_paths(ordered, order="ord").first()["path"] == [1, 3, 4]
+
+
+def test_long_walks_by_joins(spark):
+    """More levels than are kept apart."""
+    e = spark.createDataFrame([(k, k + 1) for k in range(20)], E_SCHEMA)
+    got = graph.reach(e, spark.createDataFrame([(0,)], "id long"), small=0).collect()
+    assert sorted((r["id"], r["hop"]) for r in got) == [(k, k) for k in range(1, 21)]
+
+
+@pytest.mark.parametrize(("length", "small"), [(200, 1_000_000), (20, 0)])
+def test_exports_close_however_long_the_chain(spark, length, small):
+    own = spark.createDataFrame([("f0", "x", "s"), ("f0", "y", "t")], "file string, name string, symbol string")
+    stars = spark.createDataFrame([(f"f{k + 1}", f"f{k}") for k in range(length)] + [("f0", f"f{length}")], "file string, from_file string")
+    named = spark.createDataFrame([("g0", "z0", f"f{length}", "x")] + [(f"g{k + 1}", f"z{k + 1}", f"g{k}", f"z{k}") for k in range(length // 4)], "file string, name string, from_file string, from_name string")
+    got = {(r["file"], r["name"], r["symbol"]) for r in resolve.export_closure(own, named, stars, small).collect()}
+    assert got == {(f"f{k}", n, s) for k in range(length + 1) for n, s in (("x", "s"), ("y", "t"))} | {(f"g{k}", f"z{k}", "s") for k in range(length // 4 + 1)}
+
+
+def test_places_in_order_within_groups(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("abbbbb"), k) for k in rng.sample(range(10_000), 800)] + [(None, 3)]
+    got = {(r["g"], r["k"]): (r["at"], r["_size"]) for r in placed(spark.createDataFrame(rows, "g string, k long").repartition(6), "g", "k", "at").collect()}
+    for g in {g for g, _ in rows}:
+        own = sorted(k for h, k in rows if h == g)
+        assert [got[g, k] for k in own] == [(n, len(own)) for n in range(len(own))]
+
+
+def test_stored_tables_are_released(spark):
+    from pathlib import Path
+
+    t = storage.stored(spark.range(3), "test")
+    path = Path(t._stored_at.removeprefix("file://"))
+    assert path.exists() and storage.once(t, "x") is t
+    storage.released(t)
+    assert not path.exists()
+
+
 def test_degrees_orphans_and_empty_graphs(spark):
     nodes = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "id long, is_entry_point boolean")
     e = spark.createDataFrame([(1, 2), (1, 2), (4, 4), (1, 99)], E_SCHEMA)
@@ -84,8 +129,9 @@ def test_resolution(spark):
     own = spark.createDataFrame([("a", "x", "ax"), ("b", "x", "bx"), ("a", "default", "ad"), ("c", "y", "cy")], "file string, name string, symbol string")
     named = spark.createDataFrame([("d", "z", "e", "z"), ("e", "z", "d", "z"), ("f", "w", "c", "y")], "file string, name string, from_file string, from_name string")
     stars = spark.createDataFrame([("c", "a"), ("g", "c"), ("c", "g"), ("h", "a"), ("h", "b")], "file string, from_file string")
-    got = {(r["file"], r["name"]): r["symbol"] for r in resolve.export_closure(own, named, stars).collect()}
-    assert got == {("a", "x"): "ax", ("b", "x"): "bx", ("a", "default"): "ad", ("c", "y"): "cy", ("c", "x"): "ax", ("g", "x"): "ax", ("g", "y"): "cy", ("f", "w"): "cy"}
+    for small in (1_000_000, 0):
+        got = {(r["file"], r["name"]): r["symbol"] for r in resolve.export_closure(own, named, stars, small).collect()}
+        assert got == {("a", "x"): "ax", ("b", "x"): "bx", ("a", "default"): "ad", ("c", "y"): "cy", ("c", "x"): "ax", ("g", "x"): "ax", ("g", "y"): "cy", ("f", "w"): "cy"}
 
 
 def test_text():
