@@ -295,6 +295,41 @@ def test_quality(spark, docs, none):
     assert quality.filtered(docs, lab, threshold=0.0).schema == docs.schema
 
 
+def test_quality_against_dense_vectors(spark):
+    """The same model from dense matrices: log-count ratios, dual coordinate descent in the same order, Platt's logistic by plain gradient steps."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["calm", "sea", "river"] if k % 3 else ["WIN", "now", "river"]) for _ in range(rng.randrange(0, 12))) for k in range(60)]
+    labels = [(k, int(k % 3 > 0)) for k in range(50)] + [(4, 0)]  # an id labelled twice
+    got = {r["doc_id"]: r["score"] for r in quality.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+
+    def dense(t):
+        b, x = t.encode(), np.zeros(quality.FEATURES)
+        for i in range(len(b) - 1):
+            x[((b[i] << 8 | b[i + 1]) * 0x9E3779B1 % 2**32) >> 18] = 1
+        for i in range(len(b) - 3):
+            x[quality.FEATURES // 4 + ((int.from_bytes(b[i : i + 4], "big") * 0x85EBCA6B % 2**32) >> 16) % (quality.FEATURES * 3 // 4)] = 1
+        return x
+
+    rows = sorted((k, q) for k, q in labels if zlib.crc32(str(k).encode()) % 4 != 2)
+    x, y = np.stack([dense(texts[k]) for k, _ in rows]), np.array([1.0 if q else -1.0 for _, q in rows])
+    up, down = x[y > 0].sum(axis=0) + 1, x[y < 0].sum(axis=0) + 1
+    ratio = np.log(up / up.sum()) - np.log(down / down.sum())
+    scaled = lambda m: m * ratio / np.sqrt(np.maximum(m.sum(axis=1, keepdims=True), 1))
+    z = np.hstack([scaled(x), np.ones((len(x), 1))])
+    cost, w, alpha, order = np.where(y > 0, len(y) / (2 * (y > 0).sum()), len(y) / (2 * (y < 0).sum())), np.zeros(z.shape[1]), np.zeros(len(y)), np.random.default_rng(7)
+    for _ in range(quality.PASSES):
+        for i in order.permutation(len(y)):
+            new = min(max(alpha[i] - (y[i] * (z[i] @ w) - 1) / (z[i] @ z[i]), 0), cost[i])
+            w, alpha[i] = w + (new - alpha[i]) * y[i] * z[i], new
+    margin, target = z @ w, np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
+    p = np.array([1.0, 0.0])
+    for _ in range(200_000):
+        q = 1 / (1 + np.exp(-(margin * p[0] + p[1])))
+        p -= 0.02 * np.array([(q - target) @ margin, (q - target).sum()]) / len(y) * 5
+    all_ = np.hstack([scaled(np.stack([dense(t) for t in texts])), np.ones((len(texts), 1))]) @ w
+    assert np.allclose([got[k] for k in range(60)], 1 / (1 + np.exp(-(all_ * p[0] + p[1]))), atol=1e-4)
+
+
 def test_secrets(spark, docs, none):
     key = "AKIA" + "Q7" * 8
     token = "aB3" * 14

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import decontaminate, packing, quality, registry, simhash
+from lattica.llm import decontaminate, neardup, packing, quality, registry, simhash
 from lattica.llm.common import stored, table
 
 ROOT = Path(__file__).parents[2]
@@ -47,6 +47,27 @@ def test_stages_take_effect(spark):
     assert seen[5].agg(F.sum("length")).first()[0] == sum(len(encode(r["text"])) // 4 + 1 for r in seen[4].collect())
 
 
+def test_stages_on_empty_tables_and_null_rows(spark):
+    docs = table(spark, SF, "documents")
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (None, None, None, None, None), (2, "a b c", "en", None, 5), (2, "a b c", "en", None, 5)], docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        assert stage(spark, odd, SF).count() <= 5, name
+    near = sorted((r["doc_id"] or 0, r["text"] or "") for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, odd, SF).collect())
+    assert near == [(1, ""), (2, "a b c")]  # one of the texts without words, one of the copies
+
+
+def test_near_copies_left_are_below_the_similarity(spark):
+    """The third stage against all pairs of its own input."""
+    docs = stored(table(spark, SF, "documents"), "test-docs")
+    sets = {r["doc_id"]: neardup.shingles(r["text"]) for r in docs.collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    near = lambda a, b: neardup.jaccard(sets[a], sets[b]) >= neardup.LEAST
+    ids = sorted(sets)
+    assert not any(near(a, b) for a in kept for b in kept if a < b)
+    assert all(any(near(a, b) for b in ids if b != a) for a in ids if a not in kept)
+
+
 def test_registry():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES) and len(registry.QUERIES) == 10
 
