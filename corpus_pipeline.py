@@ -1,7 +1,8 @@
 """A corpus pipeline of the training-data operators; each stage works on what the one before it kept.
 
-Texts of rows that stay change in two stages: repeated runs of lines are cut out (a text may become empty; the near-dedup then keeps one
-such row), and benchmark spans that only items of fewer than ten words have. Null texts are kept as they are.
+Texts of rows that stay change in two stages: repeated runs of lines are cut out (a text may become empty), and benchmark spans that only items
+of fewer than ten words have. Null texts stay null; to the near-dedup all texts without words, null ones too, are copies of one another, and one row of
+them stays. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated runs of two lines or more, and repeated long lines, go, but for their first occurrence."""
+    """Repeated runs of two lines or more, and repeated lines of 50 words or more, go, but for their first occurrence."""
     return linededup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles at Jaccard 0.8 or more) stays, the one of the smallest doc_id."""
+    """One document of each group of near copies (SimHash candidates, five-word shingles at Jaccard 0.8 or more) stays, the one of the smallest doc_id."""
     return neardup.dedup(docs)
 
 
