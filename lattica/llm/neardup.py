@@ -9,7 +9,7 @@ less. Nodes that agree on a probed part are candidates; the first CHECKED words
 
 Buckets of up to HOT nodes are compared pair by pair, a larger one first by stars: in each of ROUNDS rounds all its nodes outside its largest component
 are compared to CENTRES of that component's, others in each bucket. What comes after, all pairs of small buckets and those
-outside a large bucket's largest component with all of it (dealt into SALTS tasks), passes over nodes that are in one component already. So a large group of
+outside a large bucket's largest component with all of it (a very large bucket dealt into several tasks), passes over nodes that are in one component already. So a large group of
 near copies takes linear work though most of its pairs may be below LEAST, and no candidate that could join two components is left out; a large bucket of
 texts that are alike, but never LEAST, takes the comparison of all its fingerprints' words.
 
@@ -35,13 +35,17 @@ from lattica.llm.simhash import fixing, grouped_bits
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 #: Probability that a pair at LEAST isn't found.
-MISS = 0.002
+MISS = 0.005
 #: Words of the fingerprint that are compared before the texts, and how many standard deviations beyond the mean of a pair at LEAST still pass.
 CHECKED, DEVIATIONS = 2, 3.5
 #: Evenly spread nodes of a bucket; a probe costs as much as so many comparisons.
-OCCUPANCY, PROBE = 16, 50
-#: Nodes that a bucket compares pair by pair; tasks that a larger one is dealt into; rounds of stars in it, and centres of each.
-HOT, SALTS, ROUNDS, CENTRES = 64, 16, 2, 2
+OCCUPANCY, PROBE = 32, 50
+#: Nodes that a bucket compares pair by pair; rounds of stars in a larger one, and centres of each.
+HOT, ROUNDS, CENTRES = 128, 2, 2
+#: Nodes of a larger bucket that a task gets, and tasks at most.
+DEALT, SALTS = 512, 16
+#: Tasks that the text of a centre goes to.
+COPIES = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -226,21 +230,21 @@ def clusters(docs: DataFrame) -> DataFrame:
     most = int(64 * CHECKED * share + DEVIATIONS * math.sqrt(64 * CHECKED * share * (1 - share)))
 
     def near(x: DataFrame, y: DataFrame, on: list[str], also: str) -> DataFrame:
-        """a, b: nodes (_n, checked words, component _of) of one bucket whose checked words are near, but for those in one component."""
+        """a, b: nodes (_n, checked words, component _of or null) of one bucket whose checked words are near, but for those in one component."""
         left, right = (t.select(*on, *[F.col(c).alias(f"{c}{end}") for c in (*checked, "_of")], F.col("_n").alias(end), *[c for c in t.columns if c == "_most" and end == "b"]) for t, end in ((x, "a"), (y, "b")))
         apart = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in checked)
-        return left.join(right, on).filter((apart <= most) & (F.col("_ofa") != F.col("_ofb")) & F.expr(also)).select("a", "b")
+        return left.join(right, on).filter((apart <= most) & F.expr("_ofa is null or _ofb is null or _ofa <> _ofb") & F.expr(also)).select("a", "b")
 
     def placed(of: DataFrame | None) -> DataFrame:
-        """The nodes by bucket, with their components."""
-        own = nodes if of is None else nodes.join(of.select(F.col("node").alias("_n"), "component"), "_n", "left")
-        component = F.col("_n") if of is None else F.coalesce("component", "_n")
-        return own.select("_n", component.alias("_of"), *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
+        """The nodes by bucket, with their components; null where a node is one by itself, as nulls shuffle small."""
+        own = nodes.withColumn("component", F.lit(None).cast("long")) if of is None else nodes.join(of.select(F.col("node").alias("_n"), "component"), "_n", "left")
+        return own.select("_n", F.col("component").alias("_of"), *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
 
     def with_most(hot: DataFrame) -> DataFrame:
         """`hot` with _most, the largest component of each bucket."""
+        hot = hot.withColumn("_of", F.coalesce("_of", "_n"))
         sizes = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c"))
-        return hot.join(sizes.groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most")), "_k")
+        return hot.join(sizes.groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"), F.sum("_c").alias("_size")), "_k")
 
     keyed, of, found = placed(None), None, []
     big = stored(keyed.groupBy("_k").agg(F.count("*").alias("_c")).filter(F.col("_c") > HOT).select("_k"), "near-big")
@@ -255,8 +259,8 @@ def clusters(docs: DataFrame) -> DataFrame:
             one = hot.filter(F.col("_of") == F.col("_most")) if turn else hot
             one = one.groupBy("_k").agg(F.min_by(F.struct("_n", "_of", *checked), pick).alias("_x")).select("_k", "_x.*")
             centres = one if centres is None else centres.unionByName(one)
-        outside = hot.filter("_of <> _most") if turn else hot
-        new = _verified(near(centres, outside.drop("_most"), ["_k"], "true"), docs, SALTS)
+        outside = hot.filter("_of <> _most").drop("_most", "_size") if turn else hot
+        new = _verified(near(centres, outside, ["_k"], "a <> b"), docs, COPIES)
         if not new.take(1):
             break
         found.append(new)
@@ -266,10 +270,11 @@ def clusters(docs: DataFrame) -> DataFrame:
     pairs = near(small, small, ["_k"], "a < b")
     if any_big:
         hot = stored(keyed.join(big, "_k", "left_semi"), "near-hot")
-        hot = stored(with_most(hot).withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(SALTS)).cast("int")), "near-placed")
-        outside = hot.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+        salts = F.least(F.lit(SALTS), F.ceil(F.col("_size") / DEALT)).cast("int")
+        hot = stored(with_most(hot).withColumn("_salt", F.pmod(F.xxhash64("_n"), salts).cast("int")), "near-placed")
+        outside = hot.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         pairs = pairs.unionByName(near(outside, hot, ["_k", "_salt"], "_ofb = _most or a < b"))
-    found.append(_verified(pairs, docs, SALTS if any_big else 1))
+    found.append(_verified(pairs, docs))
     of = stored(components(reduce(DataFrame.unionByName, found)), "near-components")
     group = nodes.select("_set", "_n").join(of.select(F.col("node").alias("_n"), "component"), "_n", "left").select("_set", F.coalesce("component", "_n").alias("_group"))
     return rows.select("_rid", "_set").join(group, "_set").select("_rid", "_group")
