@@ -118,7 +118,8 @@ def repeats(rid: DataFrame) -> DataFrame:
     laps = (F.col("_rid") == F.col("_r")) & (F.col("at") % 2 == 1) & (F.col("at") == F.col("_a") + 2)
     again = found.select("_rid", "at", "key").join(shared, "key").select("_rid", F.struct("at", "key", head.alias("head"), laps.alias("laps")).alias("_c"))
     per = again.groupBy("_rid").agg(F.collect_list("_c").alias("_c"))  # of one document
-    bodies = rid.select("_rid", "text").join(per, "_rid").select("_rid", F.explode(_bodies("text", "_c")).alias("_z")).select("_rid", "_z.*")
+    # Both joins of texts are merged at every size: what a small table would broadcast, a large one couldn't.
+    bodies = rid.select("_rid", "text").join(per.hint("merge"), "_rid").select("_rid", F.explode(_bodies("text", "_c")).alias("_z")).select("_rid", "_z.*")
     bodies = stored(bodies, "line-bodies")
     heads = bodies.filter("head").select("key", "nth", F.col("body").alias("_head"))
     same = bodies.filter("not head").join(heads, ["key", "nth"]).filter("body = _head")
@@ -128,7 +129,7 @@ def repeats(rid: DataFrame) -> DataFrame:
 def _applied(rid: DataFrame) -> DataFrame:
     """_rid, _row (as from packed), _new: the text that is left, and counts."""
     gone = stored(repeats(rid.select("_rid", "doc_id", "text")), "line-gone")
-    return rid.select("_rid", "_row").join(gone, "_rid", "left").withColumn("_new", _without("_row.text", "_gone"))
+    return rid.select("_rid", "_row").join(gone.hint("merge"), "_rid", "left").withColumn("_new", _without("_row.text", "_gone"))
 
 
 def report(docs: DataFrame) -> DataFrame:
