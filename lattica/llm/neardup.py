@@ -41,7 +41,7 @@ CHECKED, DEVIATIONS = 2, 3.5
 #: Evenly spread nodes of a bucket; a probe costs as much as so many comparisons.
 OCCUPANCY, PROBE = 32, 50
 #: Nodes that a bucket compares pair by pair; rounds of stars in a larger one, and centres of each.
-HOT, ROUNDS, CENTRES = 128, 2, 2
+HOT, ROUNDS, CENTRES = 128, 3, 8
 #: Nodes of a larger bucket that a task gets, and tasks at most.
 DEALT, SALTS = 512, 16
 #: Tasks that the text of a centre goes to.
@@ -253,12 +253,9 @@ def clusters(docs: DataFrame) -> DataFrame:
         hot = stored(placed(of).join(big, "_k", "left_semi"), "near-hot")
         if turn:
             hot = stored(with_most(hot), "near-placed")
-        centres = None
-        for c in range(CENTRES):  # all nodes are components of their own at first
-            pick = F.xxhash64("_n", "_k", F.lit(turn * CENTRES + c))
-            one = hot.filter(F.col("_of") == F.col("_most")) if turn else hot
-            one = one.groupBy("_k").agg(F.min_by(F.struct("_n", "_of", *checked), pick).alias("_x")).select("_k", "_x.*")
-            centres = one if centres is None else centres.unionByName(one)
+        picks = [F.min_by(F.struct("_n", "_of", *checked), F.xxhash64("_n", "_k", F.lit(turn * CENTRES + c))) for c in range(CENTRES)]
+        own = hot.filter(F.col("_of") == F.col("_most")) if turn else hot  # all nodes are components of their own at first
+        centres = own.groupBy("_k").agg(F.array_distinct(F.array(*picks)).alias("_x")).select("_k", F.explode("_x").alias("_x")).select("_k", "_x.*")
         outside = hot.filter("_of <> _most").drop("_most", "_size") if turn else hot
         new = _verified(near(centres, outside, ["_k"], "a <> b"), docs, COPIES)
         if not new.take(1):
