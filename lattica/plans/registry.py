@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.operators import analytics, graph, resolve
-from lattica.plans.derived import EVENT_SQL, EXPORT_SQL, FK_SQL, SQL, event_usages, key_edges, key_exports, key_nodes, part_edges, part_files, table, virtual_sources
+from lattica.plans.derived import EVENT_SQL, EXPORT_SQL, FK_SQL, SQL, event_usages, key_edges, key_exports, key_nodes, nearest_second, part_edges, part_files, table, virtual_sources
 from lattica.plans.project import read_facts, resolved
 from lattica.sources.project_files import Resolver
 from lattica.storage import stored
@@ -280,7 +280,8 @@ def export_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 rg AS (SELECT event_id AS range_id, scope, at_ - 60 AS start, at_ + 3600 * (1 + event_id % 24) AS end_ FROM ev)
 SELECT e.event_id AS site_id, max_by(r.range_id, (r.start, r.range_id)) AS range_id FROM ev e JOIN rg r ON r.scope = e.scope AND r.start <= e.at_ AND e.at_ < r.end_ GROUP BY e.event_id""", base="")
 def nearest_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("site_id"), F.col("user_id").alias("scope"), F.unix_timestamp("ts").alias("at"))
+    ev = table(spark, sf_dir, "events")
+    e = ev.select(F.col("event_id").alias("site_id"), F.col("user_id").alias("scope"), nearest_second(ev, "ts").alias("at"))
     r = e.select("scope", F.col("site_id").alias("range_id"), (F.col("at") - 60).alias("start"), (F.col("at") + 3600 * (1 + F.col("site_id") % 24)).alias("end"))
     return resolve.nearest_enclosing(e, r, "scope")
 

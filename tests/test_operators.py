@@ -9,7 +9,7 @@ from lattica import storage
 from lattica.functions import classify
 from lattica.operators import analytics, graph, resolve
 from lattica.operators.ranking import placed
-from lattica.plans import registry, report
+from lattica.plans import derived, registry, report
 
 E_SCHEMA = "src long, dst long"
 
@@ -134,6 +134,22 @@ def test_resolution(spark):
         assert got == {("a", "x"): "ax", ("b", "x"): "bx", ("a", "default"): "ad", ("c", "y"): "cy", ("c", "x"): "ax", ("g", "x"): "ax", ("g", "y"): "cy", ("f", "w"): "cy"}
 
 
+def test_times_round_as_in_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    at = [-61_500_000, -60_499_999, -1_500_000, -1, 0, 499_999, 500_000, 1_500_000, 60_600_000, 61_600_000, 4_600_000_500_000]
+    duckdb.sql(f"COPY (SELECT i AS event_id, make_timestamp(x) AS ts, i % 2 AS user_id FROM (SELECT unnest({at}) AS x, unnest({[24 * k for k in range(len(at))]}) AS i) UNION ALL SELECT 999, NULL, 1) TO '{tmp_path}/events.parquet'")
+    events = derived.table(spark, str(tmp_path), "events")
+    want = dict(duckdb.sql(f"SELECT event_id, epoch(ts)::BIGINT FROM '{tmp_path}/events.parquet'").fetchall())
+    for zone in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert {r[0]: r[1] for r in events.select("event_id", derived.nearest_second(events, "ts")).collect()} == want
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    zoned = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    assert {r[0]: r[1] for r in zoned.select("event_id", derived.nearest_second(zoned, "ts")).collect()} == want
+    sql = registry.ORACLE_SQL["nearest_enclosing"].replace("FROM events", f"FROM '{tmp_path}/events.parquet'")
+    assert sorted(map(tuple, registry.QUERIES["nearest_enclosing"](spark, str(tmp_path)).collect())) == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_text():
     assert report.bar(5, 10) == "█████░░░░░" and report.bar(1, 0) == "░" * 10 and report.fixed(1.45) == "1.4" and report.fixed(2.5) == "2.5"
     assert report.rows([("a", 1), ("long", 1234)]) == ["a          1", "long    1234"]
