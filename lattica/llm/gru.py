@@ -1,8 +1,8 @@
 """A gated recurrent language model in numpy, with a class-factored output.
 
-The vocabulary is a short list of the most frequent words, in classes of near equal frequency mass, and one more class
-for all other words. P(word) = P(class | state) * P(word in class | state) for listed words; P(last class | state) for the rest, whose
-place within that class is left to the caller's smoothed counts.
+The vocabulary is a list of words, in classes of near equal frequency mass, and one or more classes for all other words. P(word) =
+P(class | state) * P(word in class | state) for listed words; P(class | state) for the rest, whose place within their class is left to the
+caller's smoothed counts. Each other class has an input of its own, as each listed word has.
 """
 
 from __future__ import annotations
@@ -17,30 +17,41 @@ def classes(counts: np.ndarray, n: int) -> np.ndarray:
     return np.unique(np.concatenate([[0], cut[cut < len(counts)], [len(counts)]]))
 
 
+#: Rows whose classes are worked out at once, in a processor's cache.
+ROWS = 1024
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return x[np.arange(len(x)), at] - top - np.log(np.exp(x - top[:, None]).sum(axis=1))
+    """Overwrites x."""
+    x -= x.max(axis=1, keepdims=True)
+    out = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return out - np.log(x.sum(axis=1))
 
 
 class Gru:
-    """counts: of the listed words, most frequent first; other: count of all other words' tokens."""
+    """counts: of the listed words, most frequent first; other: count of all other words' tokens, or of each class of them."""
 
-    def __init__(self, counts: np.ndarray, other: int, hidden: int = 32, n_classes: int = 32, seed: int = 11) -> None:
+    def __init__(self, counts: np.ndarray, other: int | np.ndarray, hidden: int = 32, n_classes: int = 32, seed: int = 11) -> None:
         rng = np.random.default_rng(seed)
         self.k, self.h = len(counts), hidden
         self.bounds = classes(counts, n_classes)
         self.n_classes = len(self.bounds) - 1
-        self.class_of = np.append(np.repeat(np.arange(self.n_classes), np.diff(self.bounds)), self.n_classes).astype(np.int64)
+        others = np.atleast_1d(other)
+        self.class_of = np.append(np.repeat(np.arange(self.n_classes), np.diff(self.bounds)), self.n_classes + np.arange(len(others))).astype(np.int64)
         f = lambda *s: (rng.standard_normal(s) * 0.3 / np.sqrt(s[0])).astype(np.float32)
-        mass = np.array([counts[a:b].sum() for a, b in zip(self.bounds, self.bounds[1:], strict=False)] + [other], dtype=float)
+        mass = np.array([counts[a:b].sum() for a, b in zip(self.bounds, self.bounds[1:], strict=False)] + [*others], dtype=float)
         self.p = {
-            "e": (rng.standard_normal((self.k + 1, 3 * hidden)) * 0.2).astype(np.float32), "b": np.zeros(3 * hidden, np.float32),
-            "u": f(hidden, 3 * hidden), "wc": f(hidden, self.n_classes + 1), "bc": np.log(mass + 1).astype(np.float32),
+            "e": (rng.standard_normal((self.k + len(others), 3 * hidden)) * 0.2).astype(np.float32), "b": np.zeros(3 * hidden, np.float32),
+            "u": f(hidden, 3 * hidden), "wc": f(hidden, self.n_classes + len(others)), "bc": np.log(mass + 1).astype(np.float32),
             "wo": (rng.standard_normal((self.k, hidden)) * 0.05).astype(np.float32), "bo": np.log(counts + 1.0).astype(np.float32),
         }
 
@@ -54,9 +65,9 @@ class Gru:
         return c + z * (h - c), (x, h, z, r, c, g[:, 2 * n :])
 
     def log_prob(self, states: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log of P(y | state), row by row; y = k stands for any other word."""
+        """Natural log of P(y | state), row by row; y = k + j stands for any word of the other class j."""
         p, cls = self.p, self.class_of[y]
-        out = _log_softmax_at(states @ p["wc"] + p["bc"], cls)
+        out = np.concatenate([_log_softmax_at(states[a : a + ROWS] @ p["wc"] + p["bc"], cls[a : a + ROWS]) for a in range(0, max(len(y), 1), ROWS)])
         for rows, a, b in self._by_class(cls):
             if b - a > 1:
                 out[rows] += _log_softmax_at(states[rows] @ p["wo"][a:b].T + p["bo"][a:b], y[rows] - a)
@@ -76,6 +87,13 @@ class Gru:
             trainer.feed([docs[i] for i in rng.permutation(len(docs))], (k + 0.5) / passes)
 
     def _window(self, x: np.ndarray, h: np.ndarray, end: int) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        grads, rows, h = self._gradients(x, h, end)
+        e = np.zeros_like(self.p["e"])
+        e[rows] = grads["e"]
+        return grads | {"e": e}, h
+
+    def _gradients(self, x: np.ndarray, h: np.ndarray, end: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of a window's mean loss, of "e" only for the rows that it reads; those rows; the state after it."""
         p, n, steps = self.p, self.h, x.shape[1]
         states, kept = [], []
         for t in range(steps):
@@ -86,20 +104,26 @@ class Gru:
             kept.append((back, live))
         r_all, y = np.concatenate(states), x.T.ravel()
         cls = self.class_of[y]
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        d = _softmax(r_all @ p["wc"] + p["bc"])
-        d[np.arange(len(y)), cls] -= 1
-        d /= len(y)
-        grads["wc"], grads["bc"] = r_all.T @ d, d.sum(axis=0)
-        d_all = d @ p["wc"].T
+        grads = {k: np.zeros_like(v) for k, v in p.items() if k != "e"}
+        d_all, back_wc = np.empty_like(r_all), np.ascontiguousarray(p["wc"].T) / len(y)
+        for at in range(0, len(y), ROWS):
+            r = r_all[at : at + ROWS]
+            d = _softmax(r @ p["wc"] + p["bc"])
+            d[np.arange(len(d)), cls[at : at + ROWS]] -= 1
+            grads["wc"] += r.T @ d
+            grads["bc"] += d.sum(axis=0)
+            d_all[at : at + ROWS] = d @ back_wc
+        for k in ("wc", "bc"):
+            grads[k] /= len(y)
         for rows, a, b in self._by_class(cls):
             if b - a > 1:
-                q = _softmax(r_all[rows] @ p["wo"][a:b].T + p["bo"][a:b])
+                r = r_all[rows]
+                q = _softmax(r @ p["wo"][a:b].T + p["bo"][a:b])
                 q[np.arange(len(rows)), y[rows] - a] -= 1
-                q /= len(y)
-                grads["wo"][a:b] += q.T @ r_all[rows]
-                grads["bo"][a:b] += q.sum(axis=0)
-                d_all[rows] += q @ p["wo"][a:b]
+                r /= len(y)
+                grads["wo"][a:b] = q.T @ r
+                grads["bo"][a:b] = q.sum(axis=0) / len(y)
+                d_all[rows] += q @ (p["wo"][a:b] / len(y))
         d_all = d_all.reshape(steps, -1, n)
         dh, inputs = np.zeros_like(h), []
         for t in range(steps - 1, -1, -1):
@@ -117,8 +141,8 @@ class Gru:
         xs = x[:, ::-1].T.ravel()
         order = np.argsort(xs, kind="stable")
         starts = np.flatnonzero(np.diff(xs[order], prepend=-1))
-        grads["e"][xs[order][starts]] = np.add.reduceat(np.concatenate(inputs)[order], starts, axis=0)
-        return grads, h
+        grads["e"] = np.add.reduceat(np.concatenate(inputs)[order], starts, axis=0)
+        return grads, xs[order][starts], h
 
     def score(self, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
         """Natural log of each document's probability. The state is carried across windows to a document's end;
@@ -150,11 +174,13 @@ class Gru:
 
 class Trainer:
     """Truncated backpropagation through time with Adam. Documents follow one another in streams; the state is carried across windows and
-    cleared after each `end`. There are as many streams as leave some `updates` windows in what is fed at once."""
+    cleared after each `end`. There are as many streams as leave some `updates` windows in what is fed at once. Outputs of a class, whose words are about
+as frequent as each other, share their second moment: rare words would else drift by a whole step in each window that they aren't in."""
 
     def __init__(self, model: Gru, end: int = 0, window: int = 32, streams: int = 256, updates: int = 50, rate: float = 1e-2) -> None:
         self.model, self.end, self.window, self.streams, self.updates, self.rate = model, end, window, streams, updates, rate
-        self.m, self.v = ({k: np.zeros_like(w) for k, w in model.p.items()} for _ in range(2))
+        self.m = {k: np.zeros_like(w) for k, w in model.p.items()}
+        self.v = {k: np.zeros(model.n_classes, np.float32) if k in ("wo", "bo") else np.zeros_like(w) for k, w in model.p.items()}
         self.t = 0
 
     def feed(self, docs: list[np.ndarray], done: float = 0.0) -> None:
@@ -172,12 +198,26 @@ class Trainer:
     def _over(self, lanes: np.ndarray, done: float) -> None:
         h = np.zeros((len(lanes), self.model.h), np.float32)
         for at in range(0, lanes.shape[1], self.window):
-            grads, h = self.model._window(lanes[:, at : at + self.window], h, self.end)
+            grads, seen, h = self.model._gradients(lanes[:, at : at + self.window], h, self.end)
             self.t += 1
-            rate = self.rate * max(0.1, 1 - done)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+            less, step = min(1.0, 1.0 / (norm + 1e-12)), self.rate * max(0.1, 1 - done) / (1 - 0.9**self.t)
             for k, g in grads.items():
-                g *= min(1.0, 1.0 / (norm + 1e-12))
-                self.m[k] += 0.1 * (g - self.m[k])
-                self.v[k] += 0.01 * (g * g - self.v[k])
-                self.model.p[k] -= (rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)).astype(np.float32)
+                rows = seen if k == "e" else slice(None)  # words that a window doesn't read stay as they are
+                m, v = self.m[k][rows], self.v[k][rows]
+                v += 0.01 * (less * less * (self._mean_squares(g) if k in ("wo", "bo") else g * g) - v)
+                g *= 0.1 * less
+                m *= 0.9
+                m += g
+                if k == "e":
+                    self.m[k][rows], self.v[k][rows] = m, v
+                scale = step / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-8)
+                if k in ("wo", "bo"):
+                    scale = np.repeat(scale, np.diff(self.model.bounds)).astype(np.float32)
+                    scale = scale[:, None] if k == "wo" else scale
+                self.model.p[k][rows] -= np.multiply(m, scale, out=g)
+
+    def _mean_squares(self, g: np.ndarray) -> np.ndarray:
+        """Of the rows of each class of listed words."""
+        own = np.einsum("ij,ij->i", g, g) / g.shape[1] if g.ndim == 2 else g * g
+        return np.add.reduceat(own, self.model.bounds[:-1]) / np.diff(self.model.bounds)

@@ -4,10 +4,11 @@ Counts are taken over all rows, training rows apart: each task sums its words, a
 travel to the executors; rarer words of a document meet their counts in a shuffle join, so the vocabulary may be of any size. No word of
 that join is frequent: beyond the head none has more than 1/HEAD of the tokens.
 
-The recurrent model's short list (its length grows with the vocabulary), classes and output biases come from these counts. Its weights are fitted on all
-training rows, once: in each of ROUNDS rounds every task goes over its part of the round's rows from the common weights, by truncated backpropagation, and
-the tasks' weights are averaged by their tokens, FAN tables at a time. Words off the list share a class; within it a word has
-(c + 1) / (tokens + words + 1) by the counts, so the probabilities of all texts, unknown words counted as one, sum to one.
+The recurrent model lists every word of the head that training rows have, each with an input and an output of its own; its classes and output biases come from
+these counts. Its weights are fitted on all training rows, once: in each of ROUNDS rounds every task goes over its part of the round's rows from the common
+weights, by truncated backpropagation, and the tasks' weights are averaged by their tokens, FAN tables at a time. Words beyond the head fall into
+OTHERS classes by their hash, which the model reads and predicts too; within a class a word has (c + 1) / (tokens + words + 1) by the counts, so the
+probabilities of all texts, unknown words of a class counted as one, sum to one.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id isn't held out; rows that repeat a doc_id are scored each by itself; without
 training rows every token is off the list and unknown; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +16,7 @@ training rows every token is off the list and unknown; an empty table gives an e
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,14 +27,14 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import stored, table, with_rid
+from lattica.llm.common import released, stored, table, with_rid
 from lattica.llm.gru import Gru, Trainer
 
 FOLDS, HELD = 7, 2
-#: Words that travel to the executors; the recurrent model's words, by the cube root of the vocabulary; its state.
-HEAD, LISTED, HIDDEN = 50_000, 6, 16
+#: Words that travel to the executors, all of which the recurrent model lists; classes of the other words; its state.
+HEAD, OTHERS, HIDDEN = 50_000, 16, 16
 #: Rounds of training; tables of weights that are averaged together; tokens that a task trains on at once.
-ROUNDS, FAN, FED = 3, 16, 1_000_000
+ROUNDS, FAN, FED = 3, 4, 1_000_000
 #: Distinct words that a task sums before it hands them on; documents scored together.
 SUMMED, TOGETHER = 400_000, 2000
 END = b""
@@ -42,6 +44,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
 
 
+def other(word: bytes) -> int:
+    """The class of a word that isn't listed; in SQL crc32(word) % OTHERS."""
+    return zlib.crc32(word) % OTHERS
+
+
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD, F.lit(False))
 
@@ -74,7 +81,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], rounds: int = ROUNDS) -> Gru:
-    """`model` fitted on the texts of `learn` (_rid, text), each once; ids: of the listed words, the end's being 0."""
+    """`model` fitted on the texts of `learn` (_rid, text), each once; ids: of the listed words, the end's being 0. Other words have the ids that follow, by their class."""
     spark, names, shapes = learn.sparkSession, list(model.p), {k: w.shape for k, w in model.p.items()}
 
     def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -91,7 +98,7 @@ def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], rounds: int = R
             trainer, docs, waiting, tokens = Trainer(own, end=0), [], 0, 0
             for b in batches:
                 for t in b.column("text"):
-                    docs.append(np.array([get(w, own.k) for w in words(t.as_py())] + [0], dtype=np.int64))
+                    docs.append(np.array([own.k + other(w) if (i := get(w)) is None else i for w in words(t.as_py())] + [0], dtype=np.int64))
                     waiting += len(docs[-1])
                     if waiting >= FED:
                         trainer.feed(docs, r / rounds)
@@ -99,26 +106,34 @@ def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], rounds: int = R
             trainer.feed(docs, r / rounds)
             tokens += waiting
             if tokens:
-                flat = np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * tokens
+                flat = np.concatenate([own.p[k].ravel() for k in names])
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([float(tokens)]), pa.array([flat.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
-        def added(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"part": rows["part"].iloc[:1], "tokens": [rows["tokens"].sum()], "weights": [sum(np.frombuffer(w) for w in rows["weights"]).tobytes()]})
+        def mean(weights: list[bytes], tokens: list[float]) -> np.ndarray:
+            total = np.zeros(len(weights[0]) // 4)
+            for w, n in zip(weights, tokens, strict=True):
+                total += np.frombuffer(w, np.float32) * (n / sum(tokens))
+            return total.astype(np.float32)
+
+        def averaged(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("part")
+            return pd.DataFrame({"part": rows["part"].iloc[:1].tolist(), "tokens": [rows["tokens"].sum()], "weights": [mean(rows["weights"].tolist(), rows["tokens"].tolist()).tobytes()]})
 
         kind = "part long, tokens double, weights binary"
         turn = learn.filter(F.pmod(F.xxhash64("_rid"), F.lit(rounds)) == r)
         sums = stored(turn.select("text").mapInArrow(run, kind), "lm-weights")
         while sums.count() > FAN:
-            sums = stored(sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(added, kind), "lm-weights")
-        got = sums.collect()  # FAN rows at most
+            last, sums = sums, stored(sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(averaged, kind), "lm-weights")
+            released(last)
+        got = sorted(sums.collect(), key=lambda x: x["part"])  # FAN rows at most
+        released(sums)
         if got:
-            flat = sum(np.frombuffer(x["weights"]) for x in sorted(got, key=lambda x: x["part"])) / sum(x["tokens"] for x in got)
-            model.p = {k: w.astype(np.float32) for k, w in unpacked(flat).items()}
+            model.p = unpacked(mean([x["weights"] for x in got], [x["tokens"] for x in got]))
     return model
 
 
-def lm_scores(docs: DataFrame, head: int = HEAD, listed: float = LISTED) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`."""
+def lm_scores(docs: DataFrame, head: int = HEAD, listed: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of `docs`. listed: words of the head that the recurrent model lists, if not all."""
     rid = with_rid(docs.select("doc_id", "text")).withColumn("held_out", held_out())
     counts = stored(word_counts(rid), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("_c"), F.lit(0)), F.count_if(F.col("_c") > 0)).first()
@@ -129,14 +144,20 @@ def lm_scores(docs: DataFrame, head: int = HEAD, listed: float = LISTED) -> Data
     rows += sorted(zip(top["_word"].to_pylist(), top["_c"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
     known = {bytes(w): i for i, (w, _) in enumerate(rows)}
     c = np.array([x for _, x in rows], dtype=np.int64)
-    k = min(max(1, round(listed * v ** (1 / 3))), int((c > 0).sum())) if n else 0
-    model = Gru(c[:k].astype(float), max(0, n - int(c[:k].sum())), HIDDEN, max(1, round(k**0.5)))
+    k = min(len(rows) if listed is None else max(1, listed), int((c > 0).sum())) if n else 0
+    tokens, kinds = np.zeros((2, OTHERS))
+    for r in counts.filter("_c > 0").groupBy(F.pmod(F.crc32("_word"), F.lit(OTHERS)).cast("int").alias("j")).agg(F.sum("_c").alias("c"), F.count("*").alias("v")).collect():
+        tokens[r["j"]], kinds[r["j"]] = r["c"], r["v"]
+    for (w, x), _ in zip(rows, range(k), strict=False):
+        tokens[other(w)] -= x
+        kinds[other(w)] -= 1
+    model = Gru(c[:k].astype(float), tokens, HIDDEN, max(1, round(k**0.5)))
     if k:
         trained(rid.filter(~F.col("held_out")), model, {w: i for w, i in known.items() if i < k})
 
-    # What holds for every token: base = log10((c + 1) / (N + V + 1)); in the last class, (c + 1) / (its N + its V + 1).
+    # What holds for every token: base = log10((c + 1) / (N + V + 1)); in a class of others, (c + 1) / (its N + its V + 1).
     base_less = float(np.log10(n + v + 1))
-    rest_less = float(np.log10(max(0, n - int(c[:k].sum())) + (v - k) + 1))
+    less = np.log10(tokens + kinds + 1)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.log10(c + 1.0), c > 0, model.__dict__))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,9 +177,12 @@ def lm_scores(docs: DataFrame, head: int = HEAD, listed: float = LISTED) -> Data
                     n_tokens.append(len(ws))
                     n_known.append(int(learnt[ids[there]].sum()))
                     base.append(float(logs[ids[there]].sum()))
-                    score.append(float(logs[ids[ids >= k]].sum()) - rest_less * int((ids >= k).sum() + (~there).sum()))
                     off.append([ws[i] for i in np.flatnonzero(~there)])
-                    seqs.append(np.where(there & (ids < k), ids, k))
+                    rest = np.flatnonzero(~there | (ids >= k))
+                    cls = np.array([other(ws[i]) for i in rest], dtype=np.int64)
+                    score.append(float(logs[ids[ids >= k]].sum()) - float(less[cls].sum()))
+                    ids[rest] = k + cls
+                    seqs.append(ids)
                 if k:
                     score = np.array(score) + gru.score(seqs) / np.log(10)
                 yield pa.RecordBatch.from_arrays(

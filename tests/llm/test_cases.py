@@ -422,6 +422,24 @@ def test_lm_learns_from_all_training_rows(spark, monkeypatch):
     assert len(got) > 50 and sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
 
 
+def test_lm_predicts_every_word(spark):
+    """600 words in two languages of 300, all about as frequent: only its other words tell which language a text is in."""
+    rng = random.Random(2)
+    texts = [" ".join(f"{a}{rng.randrange(300)}" for _ in range(200)) for a in (rng.choice("xy") for _ in range(600))]
+    got = lm_score.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).filter("held_out").collect()
+    assert sum(r["score"] - r["base_score"] for r in got) > 0.15 * sum(r["n_tokens"] for r in got)
+
+
+def test_lm_classes_of_other_words():
+    m = lm_score.Gru(np.array([9.0, 5, 3, 2, 1]), np.array([4, 0, 2]), hidden=6, n_classes=3)
+    m.fit([np.array([1, 2, 5, 7, 6, 0] * 8)] * 3, streams=2, window=4, updates=1, passes=2)
+    state = np.random.default_rng(1).standard_normal((2, 6)).astype(np.float32)
+    assert np.allclose(sum(np.exp(m.log_prob(state, np.array([w, w]))) for w in range(8)), 1, atol=1e-5)
+    many = np.random.default_rng(2).standard_normal((3000, 6)).astype(np.float32)
+    y = np.random.default_rng(3).integers(0, 8, 3000)
+    assert np.allclose(m.log_prob(many, y), [m.log_prob(many[i : i + 1], y[i : i + 1])[0] for i in range(3000)], atol=1e-4)
+
+
 def test_lm_without_training_rows(spark):
     held = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     got = lm_score.lm_scores(spark.createDataFrame([(held[0], "a b"), (held[1], None), (held[2], "a")], "doc_id long, text string")).collect()
