@@ -5,10 +5,11 @@ similarity s differ in a bit with probability acos(2s / (1 + s)) / pi at most, 0
 guarantee by the pigeonhole principle (every part would be probed for most of its values), so parts and thresholds are chosen for their recall. The bits
 of each word are grouped into parts, correlated bits together; each part has a threshold -1 (not probed), 0 or 1, a hit probability and a cost (probes and
 estimated candidates); dynamic programming finds the cheapest thresholds by which a pair at LEAST is missed with probability MISS at most, a closer one
-less. Nodes that agree on a probed part are candidates; the first CHECKED words of their fingerprints are compared, then the words of their texts.
+less. Nodes that agree on a probed part are candidates; the first CHECKED words of their fingerprints are compared, all words in large buckets, then the words of their texts.
 
-Buckets of up to HOT nodes are compared pair by pair, a larger one first by stars: in each of ROUNDS rounds all its nodes outside its largest component
-are compared to CENTRES of that component's, others in each bucket. What comes after, all pairs of small buckets and those
+Buckets of up to HOT nodes are compared pair by pair, a larger one first by stars: all its nodes to its middle, the node nearest to what most fingerprints
+have in each bit, as copies are nearer to what they were made from than to one another; then in each round up to ROUNDS all its nodes outside its largest component
+to CENTRES of that component's, others in each bucket. What comes after, all pairs of small buckets and those
 outside a large bucket's largest component with all of it (a very large bucket dealt into several tasks), passes over nodes that are in one component already. So a large group of
 near copies takes linear work though most of its pairs may be below LEAST, and no candidate that could join two components is left out; a large bucket of
 texts that are alike, but never LEAST, takes the comparison of all its fingerprints' words.
@@ -224,18 +225,19 @@ def clusters(docs: DataFrame) -> DataFrame:
     rows = stored(signed(docs, n_words), "near-rows")
     nodes = stored(rows.groupBy("_set").agg(F.min_by(F.struct("_rid", "_w"), "_rid").alias("_x")).select("_set", F.col("_x._rid").alias("_n"), "_x._w"), "near-nodes")
     probes = plan(_grams(nodes, n_words), nodes.count(), per)
-    checked = [f"_w{k}" for k in range(CHECKED)]
+    checked, every = ([f"_w{k}" for k in range(n)] for n in (CHECKED, n_words))
     keys = F.array(*[F.xxhash64(F.lit(k), F.get("_w", F.lit(w)).bitwiseAND(F.lit(m))) for k, (w, m) in enumerate(probes)])
     share = differing(LEAST)
-    most = int(64 * CHECKED * share + DEVIATIONS * math.sqrt(64 * CHECKED * share * (1 - share)))
 
-    def near(x: DataFrame, y: DataFrame, on: list[str], also: str) -> DataFrame:
+    def near(x: DataFrame, y: DataFrame, on: list[str], also: str, checked: list[str] = every) -> DataFrame:
         """a, b: nodes (_n, checked words, component _of or null) of one bucket whose checked words are near, but for those in one component."""
+        bits = 64 * len(checked)
+        most = int(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
         left, right = (t.select(*on, *[F.col(c).alias(f"{c}{end}") for c in (*checked, "_of")], F.col("_n").alias(end), *[c for c in t.columns if c == "_most" and end == "b"]) for t, end in ((x, "a"), (y, "b")))
         apart = sum(F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in checked)
         return left.join(right, on).filter((apart <= most) & F.expr("_ofa is null or _ofb is null or _ofa <> _ofb") & F.expr(also)).select("a", "b")
 
-    def placed(of: DataFrame | None) -> DataFrame:
+    def placed(nodes: DataFrame, of: DataFrame | None, checked: list[str]) -> DataFrame:
         """The nodes by bucket, with their components; null where a node is one by itself, as nulls shuffle small."""
         own = nodes.withColumn("component", F.lit(None).cast("long")) if of is None else nodes.join(of.select(F.col("node").alias("_n"), "component"), "_n", "left")
         return own.select("_n", F.col("component").alias("_of"), *[F.get("_w", F.lit(k)).alias(c) for k, c in enumerate(checked)], F.explode(keys).alias("_k"))
@@ -246,27 +248,37 @@ def clusters(docs: DataFrame) -> DataFrame:
         sizes = hot.groupBy("_k", "_of").agg(F.count("*").alias("_c"))
         return hot.join(sizes.groupBy("_k").agg(F.max_by("_of", F.struct("_c", "_of")).alias("_most"), F.sum("_c").alias("_size")), "_k")
 
-    keyed, of, found = placed(None), None, []
+    def middles(hot: DataFrame) -> DataFrame:
+        """A node of each bucket: the nearest in the first CHECKED words to the bits that most nodes have."""
+        sums = [F.sum(F.shiftrightunsigned(c, b).bitwiseAND(F.lit(1))).alias(f"{c}_{b}") for c in checked for b in range(64)]
+        set_ = lambda c: reduce(F.Column.bitwiseOR, [F.when(F.col(f"{c}_{b}") * 2 > F.col("_c"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)])
+        usual = stored(hot.groupBy("_k").agg(F.count("*").alias("_c"), *sums).select("_k", *[set_(c).alias(f"{c}m") for c in checked]), "near-usual")
+        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}m"))) for c in checked)
+        return hot.join(usual, "_k").groupBy("_k").agg(F.min_by(F.struct("_n", "_of", *every), F.struct(apart, "_n")).alias("_x")).select("_k", "_x.*")
+
+    keyed, of, found = placed(nodes, None, checked), None, []
     big = stored(keyed.groupBy("_k").agg(F.count("*").alias("_c")).filter(F.col("_c") > HOT).select("_k"), "near-big")
     any_big = bool(big.take(1))
+    if any_big:  # the rounds read only nodes that large buckets have
+        crowded = stored(nodes.join(keyed.join(big, "_k", "left_semi").select("_n").distinct(), "_n", "left_semi"), "near-crowded")
     for turn in range(ROUNDS * any_big):
-        hot = stored(placed(of).join(big, "_k", "left_semi"), "near-hot")
+        hot = stored(placed(crowded, of, every).join(big, "_k", "left_semi"), "near-hot")
         if turn:
             hot = stored(with_most(hot), "near-placed")
-        picks = [F.min_by(F.struct("_n", "_of", *checked), F.xxhash64("_n", "_k", F.lit(turn * CENTRES + c))) for c in range(CENTRES)]
+        picks = [F.min_by(F.struct("_n", "_of", *every), F.xxhash64("_n", "_k", F.lit(turn * CENTRES + c))) for c in range(CENTRES)]
         own = hot.filter(F.col("_of") == F.col("_most")) if turn else hot  # all nodes are components of their own at first
-        centres = own.groupBy("_k").agg(F.array_distinct(F.array(*picks)).alias("_x")).select("_k", F.explode("_x").alias("_x")).select("_k", "_x.*")
+        centres = middles(hot) if not turn else own.groupBy("_k").agg(F.array_distinct(F.array(*picks)).alias("_x")).select("_k", F.explode("_x").alias("_x")).select("_k", "_x.*")
         outside = hot.filter("_of <> _most").drop("_most", "_size") if turn else hot
         new = _verified(near(centres, outside, ["_k"], "a <> b"), docs, COPIES)
         if not new.take(1):
             break
         found.append(new)
         of = stored(components(reduce(DataFrame.unionByName, found)), "near-components")
-    keyed = placed(of)
+    keyed = placed(nodes, of, checked)
     small = keyed.join(big, "_k", "left_anti") if any_big else keyed
-    pairs = near(small, small, ["_k"], "a < b")
+    pairs = near(small, small, ["_k"], "a < b", checked)
     if any_big:
-        hot = stored(keyed.join(big, "_k", "left_semi"), "near-hot")
+        hot = stored(placed(crowded, of, every).join(big, "_k", "left_semi"), "near-hot")
         salts = F.least(F.lit(SALTS), F.ceil(F.col("_size") / DEALT)).cast("int")
         hot = stored(with_most(hot).withColumn("_salt", F.pmod(F.xxhash64("_n"), salts).cast("int")), "near-placed")
         outside = hot.filter("_of <> _most").drop("_salt", "_most").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
