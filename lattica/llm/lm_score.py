@@ -80,8 +80,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "_word binary, _c long, _a long").groupBy("_word").agg(F.sum("_c").alias("_c"), F.sum("_a").alias("_a"))
 
 
-def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], rounds: int = ROUNDS) -> Gru:
-    """`model` fitted on the texts of `learn` (_rid, text), each once; ids: of the listed words, the end's being 0. Other words have the ids that follow, by their class."""
+def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], tokens: int, rounds: int = ROUNDS) -> Gru:
+    """`model` fitted on the texts of `learn` (_rid, text), each once; ids: of the listed words, the end's being 0. Other words have the ids that follow, by their class.
+    As each task writes all weights, partitions of few of the `tokens` are taken together."""
+    tasks = max(learn.sparkSession.sparkContext.defaultParallelism, -(-tokens // (2 * FED)))
     spark, names, shapes = learn.sparkSession, list(model.p), {k: w.shape for k, w in model.p.items()}
 
     def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -121,7 +123,7 @@ def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], rounds: int = R
 
         kind = "part long, tokens double, weights binary"
         turn = learn.filter(F.pmod(F.xxhash64("_rid"), F.lit(rounds)) == r)
-        sums = stored(turn.select("text").mapInArrow(run, kind), "lm-weights")
+        sums = stored(turn.select("text").coalesce(tasks).mapInArrow(run, kind), "lm-weights")
         while sums.count() > FAN:
             last, sums = sums, stored(sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(averaged, kind), "lm-weights")
             released(last)
@@ -153,7 +155,7 @@ def lm_scores(docs: DataFrame, head: int = HEAD, listed: int | None = None) -> D
         kinds[other(w)] -= 1
     model = Gru(c[:k].astype(float), tokens, HIDDEN, max(1, round(k**0.5)))
     if k:
-        trained(rid.filter(~F.col("held_out")), model, {w: i for w, i in known.items() if i < k})
+        trained(rid.filter(~F.col("held_out")), model, {w: i for w, i in known.items() if i < k}, n)
 
     # What holds for every token: base = log10((c + 1) / (N + V + 1)); in a class of others, (c + 1) / (its N + its V + 1).
     base_less = float(np.log10(n + v + 1))
