@@ -6,7 +6,8 @@ that join is frequent: beyond the head none has more than 1/HEAD of the tokens.
 
 The recurrent model lists every word of the head that training rows have, each with an input and an output of its own; its classes and output biases come from
 these counts. Its weights are fitted on all training rows, once: in each of ROUNDS rounds every task goes over its part of the round's rows from the common
-weights, by truncated backpropagation, and the tasks' weights are averaged by their tokens, FAN tables at a time. Words beyond the head fall into
+weights, by truncated backpropagation, and the tasks' weights are averaged by their tokens, FAN tasks at a time and PIECE weights to a row, so that no process
+but the trainers and the driver ever holds all weights. Words beyond the head fall into
 OTHERS classes by their hash, which the model reads and predicts too; within a class a word has (c + 1) / (tokens + words + 1) by the counts, so the
 probabilities of all texts, unknown words of a class counted as one, sum to one.
 
@@ -33,8 +34,8 @@ from lattica.llm.gru import Gru, Trainer
 FOLDS, HELD = 7, 2
 #: Words that travel to the executors, all of which the recurrent model lists; classes of the other words; its state.
 HEAD, OTHERS, HIDDEN = 50_000, 16, 16
-#: Rounds of training; tables of weights that are averaged together; tokens that a task trains on at once.
-ROUNDS, FAN, FED = 3, 4, 1_000_000
+#: Rounds of training; tasks whose weights are averaged together; weights in a row; tokens that a task trains on at once.
+ROUNDS, FAN, PIECE, FED = 3, 64, 8192, 1_000_000
 #: Distinct words that a task sums before it hands them on; documents scored together.
 SUMMED, TOGETHER = 400_000, 2000
 END = b""
@@ -80,6 +81,37 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "_word binary, _c long, _a long").groupBy("_word").agg(F.sum("_c").alias("_c"), F.sum("_a").alias("_a"))
 
 
+#: The weights of a task: tokens that it was trained on, and a row for each PIECE of the weights.
+WEIGHTS = "part long, tokens double, piece int, weights binary"
+
+
+def pieces(part: int, tokens: float, flat: np.ndarray, together: int = 32) -> Iterator[pa.RecordBatch]:
+    """The rows of `flat`, `together` of them in a batch."""
+    cuts = [flat[at : at + PIECE].astype(np.float32).tobytes() for at in range(0, len(flat), PIECE)]
+    for at in range(0, len(cuts), together):
+        n = len(cuts[at : at + together])
+        columns = [pa.array([part] * n, pa.int64()), pa.array([float(tokens)] * n), pa.array(range(at, at + n), pa.int32()), pa.array(cuts[at : at + n], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["part", "tokens", "piece", "weights"])
+
+
+def averaged(sums: DataFrame) -> np.ndarray:
+    """The mean of the weights of the tasks in `sums` (a stored table), each counted by its tokens; empty if there are none. Releases `sums`."""
+
+    def mean(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        n, total = rows["tokens"].sum(), 0.0
+        for w, x in zip(rows["weights"], rows["tokens"], strict=True):
+            total += np.frombuffer(w, np.float32) * (x / n)
+        return rows.iloc[:1].assign(tokens=n, weights=[total.astype(np.float32).tobytes()])
+
+    while sums.filter("piece = 0").count() > 1:
+        last, sums = sums, stored(sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part", "piece").applyInPandas(mean, WEIGHTS), "lm-weights")
+        released(last)
+    got = sums.select("piece", "weights").toArrow().sort_by("piece")
+    released(sums)
+    return np.frombuffer(b"".join(got["weights"].to_pylist()), np.float32)
+
+
 def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], tokens: int, rounds: int = ROUNDS) -> Gru:
     """`model` fitted on the texts of `learn` (_rid, text), each once; ids: of the listed words, the end's being 0. Other words have the ids that follow, by their class.
     As each task writes all weights, partitions of few of the `tokens` are taken together."""
@@ -108,29 +140,13 @@ def trained(learn: DataFrame, model: Gru, ids: dict[bytes, int], tokens: int, ro
             trainer.feed(docs, r / rounds)
             tokens += waiting
             if tokens:
-                flat = np.concatenate([own.p[k].ravel() for k in names])
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([float(tokens)]), pa.array([flat.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
-
-        def mean(weights: list[bytes], tokens: list[float]) -> np.ndarray:
-            total = np.zeros(len(weights[0]) // 4)
-            for w, n in zip(weights, tokens, strict=True):
-                total += np.frombuffer(w, np.float32) * (n / sum(tokens))
-            return total.astype(np.float32)
-
-        def averaged(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("part")
-            return pd.DataFrame({"part": rows["part"].iloc[:1].tolist(), "tokens": [rows["tokens"].sum()], "weights": [mean(rows["weights"].tolist(), rows["tokens"].tolist()).tobytes()]})
+                yield from pieces(TaskContext.get().partitionId(), tokens, np.concatenate([own.p[k].ravel() for k in names]))
 
-        kind = "part long, tokens double, weights binary"
         turn = learn.filter(F.pmod(F.xxhash64("_rid"), F.lit(rounds)) == r)
-        sums = stored(turn.select("text").coalesce(tasks).mapInArrow(run, kind), "lm-weights")
-        while sums.count() > FAN:
-            last, sums = sums, stored(sums.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("part").applyInPandas(averaged, kind), "lm-weights")
-            released(last)
-        got = sorted(sums.collect(), key=lambda x: x["part"])  # FAN rows at most
-        released(sums)
-        if got:
-            model.p = unpacked(mean([x["weights"] for x in got], [x["tokens"] for x in got]))
+        flat = averaged(stored(turn.select("text").coalesce(tasks).mapInArrow(run, WEIGHTS), "lm-weights"))
+        shared.destroy()
+        if len(flat):
+            model.p = unpacked(flat)
     return model
 
 
@@ -194,6 +210,7 @@ def lm_scores(docs: DataFrame, head: int = HEAD, listed: int | None = None) -> D
 
     kind = dict(docs.dtypes)["doc_id"]
     scored = stored(rid.select("_rid", "doc_id", "held_out", "text").mapInArrow(run, f"_rid long, doc_id {kind}, held_out boolean, n_tokens long, _known long, _base double, _score double, _off array<binary>"), "lm-rows")
+    shared.destroy()
     rare = scored.select("_rid", F.explode("_off").alias("_word")).join(counts.filter("_c > 0").select("_word", "_c"), "_word")
     rare = rare.groupBy("_rid").agg(F.count("*").alias("_more"), F.sum(F.log10(F.col("_c") + 1)).alias("_add"))
     out = scored.drop("_off").join(rare, "_rid", "left")

@@ -422,6 +422,25 @@ def test_lm_learns_from_all_training_rows(spark, monkeypatch):
     assert len(got) > 50 and sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
 
 
+def test_lm_weights_travel_in_small_rows(spark, monkeypatch):
+    """No row or group of the averaging holds all weights of a task, and their mean is that of whole tables, by their tokens."""
+    monkeypatch.setattr(lm_score, "FAN", 2)
+    monkeypatch.setattr(lm_score, "PIECE", 100)
+    tables, kept, written = np.random.default_rng(4).standard_normal((5, 1030)).astype(np.float32), lm_score.stored, []
+
+    def noted(df, name):
+        out = kept(df, name)
+        written.append(out.selectExpr("max(octet_length(weights))").first()[0])
+        return out
+
+    monkeypatch.setattr(lm_score, "stored", noted)
+    rows = [r for k, w in enumerate(tables) for b in lm_score.pieces(3 * k, k + 1, w) for r in b.to_pylist()]
+    got = lm_score.averaged(noted(spark.createDataFrame([tuple(r.values()) for r in rows], lm_score.WEIGHTS), "lm-weights"))
+    assert np.allclose(got, np.average(tables, axis=0, weights=range(1, 6)), atol=1e-6)
+    assert max(written) == 400 and len(written) > 2
+    assert len(lm_score.averaged(noted(spark.createDataFrame([], lm_score.WEIGHTS), "lm-weights"))) == 0
+
+
 def test_lm_predicts_every_word(spark):
     """600 words in two languages of 300, all about as frequent: only its other words tell which language a text is in."""
     rng = random.Random(2)
